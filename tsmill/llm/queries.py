@@ -9,6 +9,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tsmill.llm.langid import identify
+
+    return identify(_docs(spark, sf_dir))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tsmill.llm.simhash import near_duplicates
 
@@ -21,5 +27,17 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_mixing)}
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tsmill.llm.bpe import digests
+
+    return digests(_docs(spark, sf_dir))
+
+
+def op7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tsmill.llm.spans import remove_repeated
+
+    return remove_repeated(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_simhash, op3_mixing, op4_bpe, op7_spans)}
 ORACLE_SQL: dict[str, str] = {}
