@@ -39,5 +39,17 @@ def op7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated(_docs(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_simhash, op3_mixing, op4_bpe, op7_spans)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tsmill.llm.toxicity import rate
+
+    return rate(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tsmill.llm.ann import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_simhash, op3_mixing, op4_bpe, op7_spans, op8_toxicity, op9_neighbours)}
 ORACLE_SQL: dict[str, str] = {}
