@@ -51,5 +51,11 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_simhash, op3_mixing, op4_bpe, op7_spans, op8_toxicity, op9_neighbours)}
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tsmill.llm.lm import score_documents
+
+    return score_documents(_docs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_simhash, op3_mixing, op4_bpe, op7_spans, op8_toxicity, op9_neighbours, op10_lm)}
 ORACLE_SQL: dict[str, str] = {}
