@@ -33,6 +33,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_docs(spark, sf_dir))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tsmill.llm.sharding import contents, shard
+
+    return contents(*shard(_docs(spark, sf_dir)))
+
+
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tsmill.llm.imatch import fingerprints
 
@@ -63,5 +69,5 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_simhash, op3_mixing, op4_bpe, op6_imatch, op7_spans, op8_toxicity, op9_neighbours, op10_lm)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_simhash, op3_mixing, op4_bpe, op5_sharding, op6_imatch, op7_spans, op8_toxicity, op9_neighbours, op10_lm)}
 ORACLE_SQL: dict[str, str] = {}
