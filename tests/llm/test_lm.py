@@ -74,7 +74,7 @@ def test_filter_never_forgets_and_seldom_invents():
     h = np.unique(r.integers(0, 1 << 63, 60_000).astype(np.uint64) << np.uint64(1))
     c = r.integers(1, 400, len(h))
     seg = L._segment(h, 3)
-    f = L.LogFrequencyFilter([L.make_segment(h[seg == s], c[seg == s]) for s in range(3)])
+    f = L.LogFrequencyFilter([L.make_segment(h[seg == s], c[seg == s]).tobytes() for s in range(3)])
     q = f.level(h)
     assert (q >= L.level(c)).all() and (q == L.level(c)).mean() > 0.98
     other = r.integers(0, 1 << 63, 60_000).astype(np.uint64)

@@ -27,8 +27,8 @@ HOT = 200_000
 MOST_MB = 400
 #: Bits of the filter for each level held, and how many of them a level sets, all in one 64-bit word.
 BITS, SET = 16, 4
-#: Tokens that a task counts together; segments of the filter: one for each PART training tokens.
-TOGETHER, PART = 3_000_000, 2_000_000
+#: Tokens that a task counts, and scores, together; segments of the filter: one for each PART training tokens.
+TOGETHER, SCORED, PART = 3_000_000, 400_000, 2_000_000
 END_TOKEN, START_TOKEN = b"\n", b" "  # no word holds white space
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -174,26 +174,27 @@ def make_segment(h: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class LogFrequencyFilter:
-    def __init__(self, words: list[np.ndarray]):
-        """words: those of each segment, in order."""
-        self.segments = len(words)
-        self.sizes = np.array([len(w) for w in words], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
-        self.words = np.concatenate(words)
+    """Segments of the filter in order of the hashes they hold, each a bytes object, so that none is copied on its way."""
+
+    def __init__(self, segments: list[bytes]):
+        self.segments = segments
 
     def level(self, h: np.ndarray) -> np.ndarray:
         """The level of each hash, by one membership probe after the other."""
+        order = np.argsort(h)
+        h = h[order]
         q = np.zeros(len(h), np.int64)
-        left, k = np.arange(len(h)), 1
-        segment = _segment(h, self.segments)
-        start, size = self.starts[segment], self.sizes[segment]
-        while len(left):
-            at, mask = _place(h[left], k, size[left])
-            hit = (self.words[start[left] + at] & mask) == mask
-            left = left[hit]
-            q[left] = k
-            k += 1
-        return q
+        bounds = np.searchsorted(_segment(h, len(self.segments)), np.arange(len(self.segments) + 1))
+        for segment, lo, hi in zip(self.segments, bounds, bounds[1:]):
+            words, left, k = np.frombuffer(segment, np.uint64), np.arange(lo, hi), 1
+            while len(left):
+                at, mask = _place(h[left], k, len(words))
+                left = left[(words[at] & mask) == mask]
+                q[left] = k
+                k += 1
+        out = np.empty_like(q)
+        out[order] = q
+        return out
 
 
 def _filter_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,12 +271,11 @@ def score(docs: DataFrame, train: DataFrame, keep: tuple[str, ...] = ("doc_id",)
     by_filter = size <= most_mb * 1e6
     model = None
     if by_filter:
-        table = rows.select("segment", "words").toArrow()
-        words = [np.zeros(1, np.uint64)] * segments
-        for s, w in zip(table.column(0).to_pylist(), table.column(1)):
-            words[s] = np.frombuffer(w.as_buffer(), np.uint64)
+        words = [bytes(8)] * segments
+        for r in rows.select("segment", "words").toLocalIterator():  # one partition's segments at a time
+            words[r["segment"]] = bytes(r["words"])
         model = LogFrequencyFilter(words)
-        del table, words
+        del words
     shared = spark.sparkContext.broadcast((model, hot_h, hot_c))
     del model
 
@@ -323,7 +323,7 @@ def score(docs: DataFrame, train: DataFrame, keep: tuple[str, ...] = ("doc_id",)
             for i, t in enumerate(b.column(wide + 1).to_pylist()):
                 found.append(tokens_of(t))
                 held += len(found[-1])
-                if held >= TOGETHER // 2:
+                if held >= SCORED:
                     yield flush(b.slice(lo, i + 1 - lo), found)
                     found, lo, held = [], i + 1, 0
             if found:
