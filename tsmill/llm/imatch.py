@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, band=BAND) -> DataFrame:
     sides = sides.select("*", F.xxhash64("w").alias("t")).join(known, "t", "left")
     mark = F.col("w") == ""
     zero = F.lit(0).cast("long")
-    aggregates = [F.min("extra").alias("extra"), F.min("doc_id").alias("doc_id"), F.min("n_chars").alias("n_chars"), F.min(F.when(mark, F.col("sha"))).alias("sha")]
+    aggregates = []
     for side in (0, 1):
         here = F.col("side") == side
         aggregates.append(F.bit_xor(F.when(here & mark, F.col("raw")).otherwise(zero)).alias(f"raw{side}"))
@@ -108,7 +108,8 @@ def fingerprints(docs: DataFrame, band=BAND) -> DataFrame:
         for i in range(len(SUBSETS)):
             inside = here & (F.col("subsets").bitwiseAND(F.lit(1 << i)) != 0)
             aggregates.append(F.bit_xor(F.when(inside, F.col("t")).otherwise(zero)).alias(f"p{side}_{i}"))
-    hashed = sides.groupBy("cell", "rn").agg(*aggregates)
+    # the other keys follow from cell and rn; as keys they leave only numbers to aggregate, which needs no sort
+    hashed = sides.groupBy("cell", "rn", "extra", "doc_id", "n_chars", "sha").agg(*aggregates)
     first = lambda s: F.coalesce(F.nullif(F.col(f"lex{s}"), zero), F.nullif(F.col(f"all{s}"), zero), F.col(f"raw{s}"))
     parts = lambda s: [F.col(f"p{s}_{i}") for i in range(len(SUBSETS))]
     hashed = hashed.select("cell", "rn", "extra", "doc_id", "n_chars", "sha", *(first(s).alias(f"first{s}") for s in (0, 1)), *parts(0), *parts(1))
