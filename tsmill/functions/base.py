@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +79,19 @@ class Accessors:
         self.names = [f.__name__ for f in functions]
 
 
+def own_keys(f: Callable) -> Callable:
+    """For functions of (frame, keys, ...): keys get names that cannot clash with the function's own columns."""
+
+    @wraps(f)
+    def run(df: DataFrame, keys: list[str], *args, **options) -> DataFrame:
+        inner = {f"__key{i}": k for i, k in enumerate(keys)}
+        out = f(df.withColumns({n: F.col(k) for n, k in inner.items()}) if inner else df, list(inner), *args, **options)
+        rest = [c for c in out.columns if c not in inner]
+        return out.select(*(F.col(n).alias(k) for n, k in inner.items()), *rest)
+
+    return run
+
+
 def salted_rollup(df: DataFrame, keys: list[str], column: str, rollup: Callable[[Column], Column], parts: int = 32) -> DataFrame:
     """Roll up summaries whose order does not matter in two steps, so that a key with very many of them is first
     merged in `parts` parts."""

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsmill.functions.base import need
+from tsmill.functions.base import need, own_keys
 
 
+@own_keys
 def top_n(df: DataFrame, keys: list[str], val: str, n: int, largest: bool = True, data: str | None = None, name: str = "summary") -> DataFrame:
     """An nmost summary for each group (see tsmill.functions.nmost). Limits apply within each partition before rows
     meet, so a group of any size sends n rows from each."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tsmill.functions import heartbeat as hb
 from tsmill.functions import metrics, timeweight
-from tsmill.functions.base import ColumnLike, col, null
+from tsmill.functions.base import ColumnLike, col, null, own_keys
 from tsmill.functions.times import interval_after, micros, micros_of, seconds_2000
 
 
@@ -65,15 +65,18 @@ def _metric(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, res
     return _by(out, keys).agg(roll(name).alias(name))
 
 
+@own_keys
 def counter_agg(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, limits: Column | None = None, slice=None, name: str = "summary") -> DataFrame:
     """One counter summary for each group; slice: an interval by which long series are cut."""
     return _metric(df, keys, ts, val, True, limits, slice, name)
 
 
+@own_keys
 def gauge_agg(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, limits: Column | None = None, slice=None, name: str = "summary") -> DataFrame:
     return _metric(df, keys, ts, val, False, limits, slice, name)
 
 
+@own_keys
 def time_weight(df: DataFrame, keys: list[str], method: str, ts: ColumnLike, val: ColumnLike, slice=None, name: str = "summary") -> DataFrame:
     rows, parts, _ = _points(df, keys, ts, val, slice)
     m = F.lit(timeweight.method_name(method))
@@ -88,6 +91,7 @@ def time_weight(df: DataFrame, keys: list[str], method: str, ts: ColumnLike, val
 
 
 # ---------------------------------------------------------------- states
+@own_keys
 def state_timeline(df: DataFrame, keys: list[str], ts: ColumnLike, state: ColumnLike) -> DataFrame:
     """Rows (keys, state, start_us, end_us): runs of equal states, the last one ending at the group's last record."""
     rows = df.select(*keys, micros(ts).alias("t"), col(state).alias("state")).where("t is not null and state is not null")
@@ -101,6 +105,7 @@ def state_timeline(df: DataFrame, keys: list[str], ts: ColumnLike, state: Column
     return ended.where("starts").select(*keys, "state", F.col("t").alias("start_us"), F.coalesce("end", "t").alias("end_us"))
 
 
+@own_keys
 def state_agg(df: DataFrame, keys: list[str], ts: ColumnLike, state: ColumnLike, name: str = "summary") -> DataFrame:
     """One state summary for each group: its runs, which are far fewer than its records, are collected."""
     runs = state_timeline(df, keys, ts, state)
@@ -109,6 +114,7 @@ def state_agg(df: DataFrame, keys: list[str], ts: ColumnLike, state: ColumnLike,
     return listed.where(F.size("r") > 0).select(*keys, F.struct(timeline.alias("timeline"), "first_ts", "last_ts").alias(name))
 
 
+@own_keys
 def state_durations(df: DataFrame, keys: list[str], ts: ColumnLike, state: ColumnLike) -> DataFrame:
     """Rows (keys, state, duration in microseconds)."""
     runs = state_timeline(df, keys, ts, state)
@@ -116,6 +122,7 @@ def state_durations(df: DataFrame, keys: list[str], ts: ColumnLike, state: Colum
 
 
 # ---------------------------------------------------------------- heartbeats
+@own_keys
 def heartbeat_ranges(df: DataFrame, keys: list[str], heartbeat: ColumnLike, agg_start: ColumnLike, agg_duration, liveness) -> DataFrame:
     """Rows (keys, span_start, span_end, lo, hi, last_seen) in microseconds: live ranges. Keys tell the spans apart."""
     live = micros_of(liveness)
@@ -130,6 +137,7 @@ def heartbeat_ranges(df: DataFrame, keys: list[str], heartbeat: ColumnLike, agg_
     return out.select(*keys, "span_start", "span_end", "lo", F.least(F.col("last_seen") + live, F.col("span_end")).alias("hi"), "last_seen")
 
 
+@own_keys
 def heartbeat_agg(df: DataFrame, keys: list[str], heartbeat: ColumnLike, agg_start: ColumnLike, agg_duration, liveness, name: str = "summary") -> DataFrame:
     ranges = heartbeat_ranges(df, keys, heartbeat, agg_start, agg_duration, liveness)
     listed = _by(ranges, keys).agg(F.min("span_start").alias("a"), F.max("span_end").alias("b"), F.max("last_seen").alias("seen"), F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("r"))
@@ -138,6 +146,7 @@ def heartbeat_agg(df: DataFrame, keys: list[str], heartbeat: ColumnLike, agg_sta
 
 
 # ---------------------------------------------------------------- filling and rolling
+@own_keys
 def fill_to(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, interval, method: str) -> DataFrame:
     """Rows (keys, time, value) with points put every interval into longer gaps: locf, linear or nearest."""
     us = micros_of(interval)
@@ -158,6 +167,7 @@ def fill_to(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, int
     return rows.select(*keys, F.timestamp_micros("at").alias("time"), value.alias("value"))
 
 
+@own_keys
 def delta(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike) -> DataFrame:
     """Rows (keys, time, value): differences of neighbours."""
     rows, _, _ = _points(df, keys, ts, val, None)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from tsmill.functions.base import ColumnLike, col, let, need
+from tsmill.functions.base import ColumnLike, col, let, need, own_keys
 
 
 def _by(df: DataFrame, keys: list[str]):
@@ -56,6 +56,7 @@ def _finish(grouped: DataFrame, keys: list[str], size: int, error: float, name:
     return out.where("count > 0").select(*keys, sketch.alias(name))
 
 
+@own_keys
 def uddsketch(df: DataFrame, keys: list[str], value: str, size: int, max_error: float, name: str = "sketch") -> DataFrame:
     """Percentile sketch of at most `size` buckets; relative error max_error, more after each compaction. Independent of
     the order of rows. Nulls are left out."""
@@ -74,6 +75,7 @@ def percentile_agg(df: DataFrame, keys: list[str], value: str, name: str = "sket
     return uddsketch(df, keys, value, 200, 0.001, name)
 
 
+@own_keys
 def rollup_uddsketch(df: DataFrame, keys: list[str], sketch: str, size: int, max_error: float, name: str = "sketch") -> DataFrame:
     """Merge sketches of one size and error; the coarsest decides where to begin."""
     s = F.col(sketch)
@@ -170,6 +172,7 @@ def _digest_table(keys: list[str], table: pa.Table, rows: list[tuple]) -> pa.Tab
     return pa.table({**columns, "d": pa.array([r for r in rows], pa.struct([("size", pa.int64()), ("count", pa.int64()), ("sum", pa.float64()), ("min", pa.float64()), ("max", pa.float64()), ("centroids", pa.list_(pa.struct([("mean", pa.float64()), ("weight", pa.int64())])))]))})
 
 
+@own_keys
 def tdigest(df: DataFrame, keys: list[str], value: str, size: int, name: str = "sketch", part_rows: int = 100_000) -> DataFrame:
     """Percentile digest of about `size` centroids. Nulls and NaN are left out.
 
@@ -195,6 +198,7 @@ def tdigest(df: DataFrame, keys: list[str], value: str, size: int, name: str = "
     return rollup_tdigest(digests, keys, "d", size, name)
 
 
+@own_keys
 def rollup_tdigest(df: DataFrame, keys: list[str], sketch: str, size: int, name: str = "sketch") -> DataFrame:
     """Merge digests; all centroids of all of them are clustered anew."""
     rows = df.where(F.col(sketch).isNotNull()).select(*keys, F.col(sketch).alias("d"))
@@ -296,6 +300,7 @@ def _precision(size: int) -> int:
     return p
 
 
+@own_keys
 def hyperloglog(df: DataFrame, keys: list[str], value: str, size: int, name: str = "sketch") -> DataFrame:
     """Distinct-count sketch of any column; size is raised to a power of two in 16 .. 262144. Nulls are left out."""
     p = _precision(size)
@@ -316,6 +321,7 @@ def _registers(rows: DataFrame, keys: list[str], p: int, name: str) -> DataFrame
     return _by(best, keys).agg(sketch.alias(name))
 
 
+@own_keys
 def rollup_hyperloglog(df: DataFrame, keys: list[str], sketch: str, name: str = "sketch") -> DataFrame:
     """Union of sketches of one precision."""
     s = F.col(sketch)
@@ -382,12 +388,14 @@ def _counted(df: DataFrame, keys: list[str], value: str, slots: int, name: str,
     return joined.where("total > 0").select(*keys, sketch.alias(name))
 
 
+@own_keys
 def freq_agg(df: DataFrame, keys: list[str], value: str, min_freq: float, name: str = "sketch") -> DataFrame:
     """Values of a share of min_freq or more, with exact counts, in 1 / min_freq + 1 slots."""
     need(0 < min_freq < 1, "min_freq must lie in (0, 1)")
     return _counted(df, keys, value, int(1 / min_freq) + 1, name, min_freq=float(min_freq), top=0, skew=0.0)
 
 
+@own_keys
 def mcv_agg(df: DataFrame, keys: list[str], value: str, n: int, skew: float = 1.1, name: str = "sketch") -> DataFrame:
     """The n most common values, with exact counts, in as many slots as values of the given skew need."""
     return _counted(df, keys, value, _mcv_slots(n, skew), name, min_freq=0.0, top=n, skew=float(skew))
@@ -396,6 +404,7 @@ def mcv_agg(df: DataFrame, keys: list[str], value: str, n: int, skew: float = 1.
 raw_freq_agg, raw_mcv_agg = freq_agg, mcv_agg
 
 
+@own_keys
 def rollup_freq(df: DataFrame, keys: list[str], sketch: str, name: str = "sketch") -> DataFrame:
     """Merge sketches of one kind. A value that a full sketch lacks may have had as many as its least entry."""
     s = F.col(sketch)
@@ -459,6 +468,7 @@ def min_frequency(s: ColumnLike, value) -> Column:
 
 
 # ---------------------------------------------------------------- count-min
+@own_keys
 def count_min_sketch(df: DataFrame, keys: list[str], value: str, error: float, probability: float, name: str = "sketch") -> DataFrame:
     """Item counts within error * n with the given probability of more: width e / error, depth ln(1 / probability)."""
     need(0 < error < 1 and 0 < probability < 1, "error and probability must lie in (0, 1)")

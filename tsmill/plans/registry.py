@@ -1,4 +1,639 @@
-"""Named queries over the test tables and the SQL that must give the same rows."""
+"""Named queries over the test tables and the SQL that must give the same rows.
 
-QUERIES: dict = {}
+Numbers are rounded on both sides, counts are long, times are microseconds since 1970.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tsmill.functions import candlestick, expressions, heartbeat, metrics, nmost, state, stats, times, timevector, timeweight
+from tsmill.operators import asof, downsampling, ranking, series, sketches
+from tsmill.sources import tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+DAY, WEEK = times.MICROS["day"], times.MICROS["week"]
+MONDAY = (times.EPOCH_2000 + 2 * 86400) * 1_000_000
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.table(spark, sf_dir, "events")
+
+
+def r(c: Column, digits: int = 4) -> Column:
+    return F.round(c.cast("double"), digits)
+
+
+def us(c: Column | str) -> Column:
+    return F.unix_micros(F.col(c) if isinstance(c, str) else c)
+
+
+def named(**columns: Column) -> list[Column]:
+    return [c.alias(k) for k, c in columns.items()]
+
+
+# pieces of SQL: events with microseconds t and value v, and each row with its neighbours
+E = "(SELECT user_id, event_id, event_type, epoch_us(ts) AS t, value AS v FROM events)"
+BUCKET = f"({MONDAY} + {{w}} * CAST(floor((t - {MONDAY}) / CAST({{w}} AS DOUBLE)) AS BIGINT))"
+DAYS, WEEKS = BUCKET.format(w=DAY), BUCKET.format(w=WEEK)
+
+
+def neighbours(by: str, source: str = E, more: str = "") -> str:
+    return f"""(SELECT *, {more} lag(t) OVER w AS pt, lag(v) OVER w AS pv, lead(t) OVER w AS nt, lead(v) OVER w AS nv FROM {source} AS e0
+        WINDOW w AS (PARTITION BY {by} ORDER BY t))"""
+
+
+def adjusted(by: str, source: str = E, more: str = "", extra: str = "") -> str:
+    """neighbours, with y: the value plus all drops before, and x: seconds since 2000."""
+    return f"""(SELECT *, v + coalesce(sum(CASE WHEN v < pv THEN pv END) OVER (PARTITION BY {by} ORDER BY t), 0) AS y, t / 1e6 - {times.EPOCH_2000} AS x {extra}
+        FROM {neighbours(by, source, more)} AS n0)"""
+
+
+# ---------------------------------------------------------------- statistics
+_MOMENTS = """n, round(mean, 4) AS average, round(sqrt(m2 / (n - 1)), 4) AS stddev, round(m2 / n, 4) AS variance_pop, round(total, 2) AS total,
+    round(m3 / (n - 1) / pow(sqrt(m2 / (n - 1)), 3), 4) AS skewness, round(m4 / (n - 1) / pow(sqrt(m2 / (n - 1)), 4), 4) AS kurtosis"""
+_CENTRED = """(SELECT event_type, count(*) AS n, any_value(mean) AS mean, sum(v) AS total, sum(pow(v - mean, 2)) AS m2, sum(pow(v - mean, 3)) AS m3, sum(pow(v - mean, 4)) AS m4
+    FROM (SELECT event_type, value AS v, avg(value) OVER (PARTITION BY event_type) AS mean FROM events) GROUP BY event_type)"""
+
+
+def _one_variable(s: str = "s") -> list[Column]:
+    return named(n=stats.num_vals(s), average=r(stats.average(s)), stddev=r(stats.stddev(s)), variance_pop=r(stats.variance(s, "population")), total=r(stats.sum(s), 2), skewness=r(stats.skewness(s)), kurtosis=r(stats.kurtosis(s)))
+
+
+@query(f"SELECT event_type, {_MOMENTS} FROM {_CENTRED}")
+def stats1d_by_type(spark, sf_dir):
+    return _events(spark, sf_dir).groupBy("event_type").agg(stats.stats_agg("value").alias("s")).select("event_type", *_one_variable())
+
+
+@query(f"SELECT event_type, {_MOMENTS} FROM {_CENTRED}")
+def stats_rollup_daily(spark, sf_dir):
+    daily = _events(spark, sf_dir).groupBy("event_type", times.time_bucket("1 day", "ts").alias("b")).agg(stats.stats_agg("value").alias("s"))
+    return daily.groupBy("event_type").agg(stats.rollup("s").alias("s")).select("event_type", *_one_variable())
+
+
+@query(
+    f"""SELECT event_type, count(*) AS n, round(regr_slope(v, x), 8) AS slope, round(regr_intercept(v, x), 2) AS intercept, round(corr(v, x), 6) AS corr,
+    round(regr_r2(v, x), 6) AS r2, round(covar_samp(v, x), 0) AS covariance, round(stddev_pop(v), 4) AS sd_y, round(avg(x), 3) AS mean_x, round(-regr_intercept(v, x) / regr_slope(v, x) / 1e5, 3) AS zero_at
+    FROM (SELECT event_type, v, (t / 1e6 - {times.EPOCH_2000}) / 3600 AS x FROM {E}) GROUP BY event_type"""
+)
+def stats2d_regression(spark, sf_dir):
+    e = _events(spark, sf_dir).withColumn("x", times.seconds_2000(times.micros("ts")) / 3600)
+    s = e.groupBy("event_type").agg(stats.stats_agg("value", "x").alias("s"))
+    return s.select(
+        "event_type", *named(n=stats.num_vals("s"), slope=r(stats.slope("s"), 8), intercept=r(stats.intercept("s"), 2), corr=r(stats.corr("s"), 6), r2=r(stats.determination_coeff("s"), 6),
+        covariance=r(stats.covariance("s"), 0), sd_y=r(stats.stddev_y("s", "pop")), mean_x=r(stats.average_x("s"), 3), zero_at=r(stats.x_intercept("s") / 1e5, 3)),
+    )
+
+
+@query(
+    f"""SELECT user_id, event_id, count(*) OVER w AS n, round(avg(v) OVER w, 7) AS average, round(coalesce(stddev_pop(v) OVER w, 0), 6) AS stddev
+    FROM {E} WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN {WEEK} PRECEDING AND CURRENT ROW)"""
+)
+def stats_rolling_week(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    one = F.struct(F.lit(1).cast("long").alias("n"), F.col("value").alias("sx"), *(F.lit(0.0).alias(f"sx{k}") for k in (2, 3, 4)))
+    s = e.withColumn("s", one).withColumn("s", stats.rolling("s", series.range_window(["user_id"], "ts", "1 week")))
+    return s.select("user_id", "event_id", *named(n=stats.num_vals("s"), average=r(stats.average("s"), 7), stddev=r(stats.stddev("s", "pop"), 6)))
+
+
+# ---------------------------------------------------------------- counters and gauges
+def _counter_sql(by: str, source: str) -> str:
+    return f"""SELECT {by}, count(*) AS n, count(CASE WHEN v < pv THEN 1 END) AS num_resets, count(CASE WHEN v <> pv THEN 1 END) AS num_changes,
+    round(max(CASE WHEN nt IS NULL THEN y END) - max(CASE WHEN pt IS NULL THEN v END), 4) AS delta, round((max(t) - min(t)) / 1e6, 3) AS time_delta,
+    round((max(CASE WHEN nt IS NULL THEN y END) - max(CASE WHEN pt IS NULL THEN v END)) / nullif((max(t) - min(t)) / 1e6, 0), 9) AS rate,
+    round(max(CASE WHEN pt IS NULL THEN CASE WHEN coalesce(nv, v) >= v THEN coalesce(nv, v) - v ELSE nv END END), 4) AS idelta_left,
+    round(max(CASE WHEN nt IS NULL THEN CASE WHEN v >= coalesce(pv, v) THEN v - coalesce(pv, v) ELSE v END END), 4) AS idelta_right,
+    round(max(CASE WHEN nt IS NULL THEN CASE WHEN v >= pv THEN v - pv ELSE v END / ((t - pt) / 1e6) END), 8) AS irate_right,
+    min(t) AS first_time, round(max(CASE WHEN nt IS NULL THEN v END), 4) AS last_val
+    FROM {adjusted(by, source)} GROUP BY {by}"""
+
+
+def _counter_columns(s: str = "summary") -> list[Column]:
+    m = metrics
+    return named(
+        n=m.num_elements(s), num_resets=m.num_resets(s), num_changes=m.num_changes(s), delta=r(m.delta(s)), time_delta=r(m.time_delta(s), 3), rate=r(m.rate(s), 9), idelta_left=r(m.idelta_left(s)),
+        idelta_right=r(m.idelta_right(s)), irate_right=r(m.irate_right(s), 8), first_time=us(m.first_time(s)), last_val=r(m.last_val(s)),
+    )
+
+
+@query(_counter_sql("user_id", E))
+def counter_by_user(spark, sf_dir):
+    return series.counter_agg(_events(spark, sf_dir), ["user_id"], "ts", "value").select("user_id", *_counter_columns())
+
+
+@query(_counter_sql("event_type", E))
+def counter_by_type_in_slices(spark, sf_dir):
+    """Few long series: cut by day, summarised apart, and merged."""
+    return series.counter_agg(_events(spark, sf_dir), ["event_type"], "ts", "value", slice="1 day").select("event_type", *_counter_columns())
+
+
+@query(_counter_sql("user_id", E))
+def counter_rollup_daily(spark, sf_dir):
+    daily = series.counter_agg(_events(spark, sf_dir).withColumn("b", times.time_bucket("1 day", "ts")), ["user_id", "b"], "ts", "value")
+    return daily.groupBy("user_id").agg(metrics.rollup_counter("summary").alias("summary")).select("user_id", *_counter_columns())
+
+
+@query(
+    f"""SELECT user_id, round(regr_slope(y, x) * 1e3, 5) AS slope, round(corr(y, x), 5) AS corr, round(regr_intercept(y, x) / 1e3, 1) AS intercept,
+    CAST(round((-regr_intercept(y, x) / regr_slope(y, x) + {times.EPOCH_2000}) / 60) AS BIGINT) AS zero_minute FROM {adjusted("user_id")} GROUP BY user_id HAVING count(*) > 2"""
+)
+def counter_regression(spark, sf_dir):
+    s = series.counter_agg(_events(spark, sf_dir), ["user_id"], "ts", "value").where(metrics.num_elements("summary") > 2)
+    zero = F.round(us(metrics.counter_zero_time("summary")) / 60e6).cast("long")
+    return s.select("user_id", *named(slope=r(metrics.slope("summary") * 1e3, 5), corr=r(metrics.corr("summary"), 5), intercept=r(metrics.intercept("summary") / 1e3, 1), zero_minute=zero))
+
+
+def _extrapolated_sql(delta: str, y: str) -> str:
+    lo, hi = "epoch_us(TIMESTAMP '2023-12-31')", "epoch_us(TIMESTAMP '2024-02-10')"
+    return f"""SELECT user_id, round(d * (span + CASE WHEN s < gap * 1.1 THEN s ELSE gap / 2 END + CASE WHEN e < gap * 1.1 THEN e ELSE gap / 2 END) / span, 3) AS extrapolated_delta,
+    round(d * (span + CASE WHEN s < gap * 1.1 THEN s ELSE gap / 2 END + CASE WHEN e < gap * 1.1 THEN e ELSE gap / 2 END) / span / (({hi} - {lo} - 1000) / 1e6), 9) AS extrapolated_rate
+    FROM (SELECT user_id, d, span, gap, CASE WHEN d > 0 AND fv >= 0 AND span * fv / d < s0 THEN span * fv / d ELSE s0 END AS s, e
+    FROM (SELECT user_id, max(CASE WHEN nt IS NULL THEN {y} END) - max(CASE WHEN pt IS NULL THEN v END) AS d, max(CASE WHEN pt IS NULL THEN v END) AS fv, (max(t) - min(t)) / 1e6 AS span,
+    (max(t) - min(t)) / 1e6 / (count(*) - 1) AS gap, (min(t) - {lo}) / 1e6 AS s0, ({hi} - max(t) - 1000) / 1e6 AS e FROM {adjusted("user_id")} GROUP BY user_id HAVING count(*) > 1))"""
+
+
+def _extrapolated(frame: DataFrame) -> DataFrame:
+    s = metrics.with_bounds("summary", times.bounds("2023-12-31", "2024-02-10"))
+    s = frame.where("summary.n > 1").select("user_id", s.alias("summary"))
+    return s.select("user_id", *named(extrapolated_delta=r(metrics.extrapolated_delta("summary"), 3), extrapolated_rate=r(metrics.extrapolated_rate("summary"), 9)))
+
+
+@query(_extrapolated_sql("d", "y"))
+def counter_extrapolated(spark, sf_dir):
+    return _extrapolated(series.counter_agg(_events(spark, sf_dir), ["user_id"], "ts", "value"))
+
+
+@query(_extrapolated_sql("d", "v"))
+def gauge_extrapolated(spark, sf_dir):
+    return _extrapolated(series.gauge_agg(_events(spark, sf_dir), ["user_id"], "ts", "value"))
+
+
+@query(
+    f"""SELECT user_id, count(*) AS n, count(CASE WHEN v <> pv THEN 1 END) AS num_changes, round(max(CASE WHEN nt IS NULL THEN v END) - max(CASE WHEN pt IS NULL THEN v END), 4) AS delta,
+    round((max(CASE WHEN nt IS NULL THEN v END) - max(CASE WHEN pt IS NULL THEN v END)) / nullif((max(t) - min(t)) / 1e6, 0), 9) AS rate,
+    round(regr_slope(v, x) * 1e6, 3) AS slope, round(corr(v, x), 5) AS corr FROM {adjusted("user_id")} GROUP BY user_id"""
+)
+def gauge_by_user(spark, sf_dir):
+    m, s = metrics, "summary"
+    return series.gauge_agg(_events(spark, sf_dir), ["user_id"], "ts", "value").select("user_id", *named(n=m.num_elements(s), num_changes=m.num_changes(s), delta=r(m.delta(s)), rate=r(m.rate(s), 9), slope=r(m.slope(s) * 1e6, 3), corr=r(m.corr(s), 5)))
+
+
+def _weeks(spark, sf_dir) -> DataFrame:
+    return _events(spark, sf_dir).withColumn("b", times.time_bucket("1 week", "ts"))
+
+
+def _around(frame: DataFrame) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("b")
+    return frame.select("*", F.lag("summary").over(w).alias("before"), F.lead("summary").over(w).alias("after"))
+
+
+def _interpolated_sql(drop: bool) -> str:
+    """Change over each week, points at its ends being put on lines to the neighbouring weeks' nearest points."""
+    a = "CASE WHEN {a} > {b} THEN 0 ELSE {a} END" if drop else "{a}"
+    left, right = a.format(a="pl", b="f"), a.format(a="l", b="nf")
+    up = lambda a, b: f"CASE WHEN {b} < {a} THEN {b} ELSE {b} - {a} END" if drop else f"({b} - {a})"
+    return f"""SELECT user_id, b, round(d + coalesce(CASE WHEN pl IS NOT NULL THEN {up('lv', 'f')} END, 0) + coalesce(CASE WHEN nf IS NOT NULL THEN {up('l', 'rv')} END, 0), 4) AS delta FROM (
+    SELECT *, {left} + (f - {left}) * (b - plt) / CAST(ft - plt AS DOUBLE) AS lv, {right} + (nf - {right}) * (b + {WEEK} - lt) / CAST(nft - lt AS DOUBLE) AS rv FROM (
+    SELECT *, lag(l) OVER u AS pl, lag(lt) OVER u AS plt, lead(f) OVER u AS nf, lead(ft) OVER u AS nft FROM (
+    SELECT user_id, b, max(CASE WHEN nt IS NULL THEN {'y' if drop else 'v'} END) - max(CASE WHEN pt IS NULL THEN v END) AS d, max(CASE WHEN pt IS NULL THEN v END) AS f, max(CASE WHEN nt IS NULL THEN v END) AS l,
+    min(t) AS ft, max(t) AS lt FROM {adjusted("user_id, b", f"(SELECT *, {WEEKS} AS b FROM {E} AS e2)")} GROUP BY user_id, b) WINDOW u AS (PARTITION BY user_id ORDER BY b)))"""
+
+
+@query(_interpolated_sql(True))
+def counter_interpolated(spark, sf_dir):
+    s = _around(series.counter_agg(_weeks(spark, sf_dir), ["user_id", "b"], "ts", "value"))
+    return s.select("user_id", "b", r(metrics.interpolated_delta("summary", F.col("b"), "1 week", "before", "after")).alias("delta")).withColumn("b", us("b"))
+
+
+@query(_interpolated_sql(False))
+def gauge_interpolated(spark, sf_dir):
+    s = _around(series.gauge_agg(_weeks(spark, sf_dir), ["user_id", "b"], "ts", "value"))
+    return s.select("user_id", "b", r(metrics.gauge_interpolated_delta("summary", F.col("b"), "1 week", "before", "after")).alias("delta")).withColumn("b", us("b"))
+
+
+# ---------------------------------------------------------------- time weights
+def _weight_sql(area: str) -> str:
+    return f"""SELECT user_id, round(sum({area}) / nullif(max(t) - min(t), 0), 5) AS average, round(coalesce(sum({area}), 0) / 3600e6, 3) AS integral FROM {neighbours("user_id")} GROUP BY user_id"""
+
+
+LOCF, LINEAR = "CASE WHEN pt IS NOT NULL THEN pv * (t - pt) END", "CASE WHEN pt IS NOT NULL THEN (pv + v) / 2 * (t - pt) END"
+
+
+def _weight_columns(s: str = "summary") -> list[Column]:
+    return named(average=r(timeweight.average(s), 5), integral=r(timeweight.integral(s, "hour"), 3))
+
+
+@query(_weight_sql(LOCF))
+def twa_locf(spark, sf_dir):
+    return series.time_weight(_events(spark, sf_dir), ["user_id"], "locf", "ts", "value").select("user_id", *_weight_columns())
+
+
+@query(_weight_sql(LINEAR))
+def twa_linear(spark, sf_dir):
+    return series.time_weight(_events(spark, sf_dir), ["user_id"], "linear", "ts", "value").select("user_id", *_weight_columns())
+
+
+@query(_weight_sql(LINEAR))
+def twa_rollup(spark, sf_dir):
+    s = series.time_weight(_weeks(spark, sf_dir), ["user_id", "b"], "linear", "ts", "value").groupBy("user_id").agg(timeweight.rollup("summary").alias("summary"))
+    return s.select("user_id", *_weight_columns())
+
+
+@query(
+    f"""SELECT user_id, b, round((w + CASE WHEN pl IS NOT NULL AND b < ft THEN (lv + f) / 2 * (ft - b) ELSE 0 END + CASE WHEN nf IS NOT NULL THEN (l + rv) / 2 * (b + {WEEK} - lt) ELSE 0 END)
+    / ((CASE WHEN nf IS NOT NULL THEN b + {WEEK} ELSE lt END) - (CASE WHEN pl IS NOT NULL THEN b ELSE ft END)), 5) AS average FROM (
+    SELECT *, pl + (f - pl) * (b - plt) / CAST(ft - plt AS DOUBLE) AS lv, l + (nf - l) * (b + {WEEK} - lt) / CAST(nft - lt AS DOUBLE) AS rv FROM (
+    SELECT *, lag(l) OVER u AS pl, lag(lt) OVER u AS plt, lead(f) OVER u AS nf, lead(ft) OVER u AS nft FROM (
+    SELECT user_id, b, coalesce(sum({LINEAR}), 0) AS w, max(CASE WHEN pt IS NULL THEN v END) AS f, max(CASE WHEN nt IS NULL THEN v END) AS l, min(t) AS ft, max(t) AS lt
+    FROM {neighbours("user_id, b", f"(SELECT *, {WEEKS} AS b FROM {E} AS e2)")} GROUP BY user_id, b) WINDOW u AS (PARTITION BY user_id ORDER BY b)))
+    WHERE (CASE WHEN nf IS NOT NULL THEN b + {WEEK} ELSE lt END) <> (CASE WHEN pl IS NOT NULL THEN b ELSE ft END)"""
+)
+def twa_interpolated(spark, sf_dir):
+    s = _around(series.time_weight(_weeks(spark, sf_dir), ["user_id", "b"], "linear", "ts", "value"))
+    out = s.select("user_id", "b", r(timeweight.interpolated_average("summary", F.col("b"), "1 week", F.col("before"), F.col("after")), 5).alias("average"))
+    return out.where("average is not null").withColumn("b", us("b"))
+
+
+# ---------------------------------------------------------------- candlesticks
+_CANDLES = "round(arg_min(v, t), 4) AS open, round(max(v), 4) AS high, round(min(v), 4) AS low, round(arg_max(v, t), 4) AS close, min(t) AS open_time, max(t) AS close_time, CAST(count(*) AS DOUBLE) AS volume, round(sum(v) / count(*), 4) AS vwap"
+
+
+def _candles(s: str = "s") -> list[Column]:
+    c = candlestick
+    return named(open=r(c.open(s)), high=r(c.high(s)), low=r(c.low(s)), close=r(c.close(s)), open_time=us(c.open_time(s)), close_time=us(c.close_time(s)), volume=c.volume(s), vwap=r(c.vwap(s)))
+
+
+@query(f"SELECT event_type, {DAYS} AS b, {_CANDLES} FROM {E} GROUP BY ALL")
+def candlestick_daily(spark, sf_dir):
+    s = _events(spark, sf_dir).groupBy("event_type", times.time_bucket("1 day", "ts").alias("b")).agg(candlestick.candlestick_agg("ts", "value", F.lit(1.0)).alias("s"))
+    return s.select("event_type", us("b").alias("b"), *_candles())
+
+
+@query(f"SELECT event_type, {_CANDLES} FROM {E} GROUP BY event_type")
+def candlestick_rollup(spark, sf_dir):
+    s = _events(spark, sf_dir).groupBy("event_type", times.time_bucket("1 hour", "ts").alias("b")).agg(candlestick.candlestick_agg("ts", "value", F.lit(1.0)).alias("s"))
+    return s.groupBy("event_type").agg(candlestick.rollup("s").alias("s")).select("event_type", *_candles())
+
+
+@query(f"SELECT count(*) AS bars, round(avg(p), 6) AS mean_vwap FROM (SELECT (max(v) + min(v) + arg_max(v, t)) / 3 AS p FROM {E} GROUP BY event_type, {DAYS})")
+def candlestick_of_bars(spark, sf_dir):
+    c = candlestick
+    bars = _events(spark, sf_dir).groupBy("event_type", times.time_bucket("1 day", "ts").alias("b")).agg(c.candlestick_agg("ts", "value", F.lit(1.0)).alias("s"))
+    again = bars.select(c.candlestick(F.col("b"), c.open("s"), c.high("s"), c.low("s"), c.close("s"), c.volume("s")).alias("s"))
+    return again.agg(F.count("*").alias("bars"), r(F.avg(c.vwap("s")), 6).alias("mean_vwap"))
+
+
+# ---------------------------------------------------------------- top n
+def _top_sql(order: str) -> str:
+    return f"SELECT user_id, CAST(rn AS BIGINT) AS rn, v FROM (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY value {order}, event_id {order}) AS rn FROM events) WHERE rn <= 5"
+
+
+def _listed(frame: DataFrame) -> DataFrame:
+    return frame.select("user_id", F.posexplode("summary.vals").alias("p", "x"))
+
+
+@query(_top_sql("DESC"))
+def max_n(spark, sf_dir):
+    return _listed(ranking.top_n(_events(spark, sf_dir), ["user_id"], "value", 5)).select("user_id", (F.col("p") + 1).cast("long").alias("rn"), F.col("x").alias("v"))
+
+
+@query(_top_sql("ASC"))
+def min_n(spark, sf_dir):
+    s = _events(spark, sf_dir).groupBy("user_id").agg(nmost.min_n("value", 5).alias("summary"))
+    return _listed(s).select("user_id", (F.col("p") + 1).cast("long").alias("rn"), F.col("x").alias("v"))
+
+
+@query("SELECT user_id, CAST(rn AS BIGINT) AS rn, v, event_id FROM (SELECT user_id, event_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id DESC) AS rn FROM events) WHERE rn <= 3")
+def max_n_by(spark, sf_dir):
+    s = _listed(ranking.top_n(_events(spark, sf_dir), ["user_id"], "value", 3, data="event_id"))
+    return s.select("user_id", (F.col("p") + 1).cast("long").alias("rn"), F.col("x.val").alias("v"), F.col("x.data").alias("event_id"))
+
+
+@query("SELECT user_id, CAST(rn AS BIGINT) AS rn, v, event_id FROM (SELECT user_id, event_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS rn FROM events) WHERE rn <= 3")
+def min_n_by_rollup(spark, sf_dir):
+    daily = ranking.top_n(_events(spark, sf_dir).withColumn("b", F.to_date("ts")), ["user_id", "b"], "value", 3, largest=False, data="event_id")
+    s = daily.groupBy("user_id").agg(nmost.rollup_min("summary").alias("summary"))
+    return _listed(s).select("user_id", (F.col("p") + 1).cast("long").alias("rn"), F.col("x.val").alias("v"), F.col("x.data").alias("event_id"))
+
+
+@query("SELECT CAST(rn AS BIGINT) AS rn, epoch_us(ts) AS t FROM (SELECT ts, row_number() OVER (ORDER BY ts DESC) AS rn FROM events) WHERE rn <= 7")
+def max_n_time(spark, sf_dir):
+    return ranking.top_n(_events(spark, sf_dir), [], "ts", 7).select(F.posexplode("summary.vals").alias("p", "x")).select((F.col("p") + 1).cast("long").alias("rn"), us("x").alias("t"))
+
+
+# ---------------------------------------------------------------- states
+_RUNS = """(SELECT user_id, state, t AS start_us, coalesce(lead(t) OVER (PARTITION BY user_id ORDER BY t), last_t) AS end_us FROM (
+    SELECT user_id, event_type AS state, t, lag(event_type) OVER w AS ps, max(t) OVER (PARTITION BY user_id) AS last_t FROM {e} AS e0 WINDOW w AS (PARTITION BY user_id ORDER BY t)) WHERE ps IS NULL OR ps <> state)""".format(e=E)
+
+
+@query(f"SELECT * FROM {_RUNS}")
+def state_timeline(spark, sf_dir):
+    return series.state_timeline(_events(spark, sf_dir), ["user_id"], "ts", "event_type")
+
+
+@query(f"SELECT user_id, state, CAST(sum(end_us - start_us) AS BIGINT) AS duration FROM {_RUNS} GROUP BY user_id, state")
+def state_durations(spark, sf_dir):
+    return series.state_durations(_events(spark, sf_dir), ["user_id"], "ts", "event_type")
+
+
+def _states(spark, sf_dir) -> DataFrame:
+    return series.state_agg(_events(spark, sf_dir), ["user_id"], "ts", "event_type")
+
+
+_AT = "epoch_us(TIMESTAMP '2024-01-10')"
+
+
+@query(
+    f"""SELECT user_id, arg_max(CASE WHEN start_us <= {_AT} THEN state END, CASE WHEN start_us <= {_AT} THEN start_us END) AS state_then, CAST(coalesce(sum(CASE WHEN state = 'click' THEN end_us - start_us END), 0) AS BIGINT) AS clicks,
+    CAST(coalesce(sum(CASE WHEN state = 'click' THEN greatest(least(end_us, {_AT} + {WEEK}) - greatest(start_us, {_AT}), 0) END), 0) AS BIGINT) AS clicks_in_week, count(CASE WHEN state = 'click' THEN 1 END) AS periods FROM {_RUNS} GROUP BY user_id"""
+)
+def state_lookup(spark, sf_dir):
+    s = _states(spark, sf_dir)
+    return s.select(
+        "user_id", *named(state_then=state.state_at("summary", "2024-01-10"), clicks=state.duration_in("summary", "click"), clicks_in_week=state.duration_in("summary", "click", "2024-01-10", "1 week"), periods=F.size(state.periods("summary", "click")).cast("long")),
+    )
+
+
+@query(f"SELECT user_id, start_us, end_us FROM {_RUNS} WHERE state = 'click'")
+def state_periods(spark, sf_dir):
+    return _states(spark, sf_dir).select("user_id", state.state_periods("summary", "click")).select("user_id", us("start_time").alias("start_us"), us("end_time").alias("end_us"))
+
+
+@query(f"SELECT * FROM {_RUNS}")
+def state_rollup_timeline(spark, sf_dir):
+    s = series.state_agg(_weeks(spark, sf_dir), ["user_id", "b"], "ts", "event_type").groupBy("user_id").agg(state.rollup("summary").alias("summary"))
+    return s.select("user_id", state.state_timeline("summary")).select("user_id", "state", us("start_time").alias("start_us"), us("end_time").alias("end_us"))
+
+
+_WEEK_RUNS = f"""(SELECT user_id, b, state, t, coalesce(lead(t) OVER (PARTITION BY user_id, b ORDER BY t), b + {WEEK}) AS e FROM (
+    SELECT user_id, b, event_type AS state, t FROM (SELECT *, {WEEKS} AS b FROM {E} AS e1) UNION ALL
+    SELECT user_id, b, state, b FROM (SELECT user_id, b, min(t) AS ft, lag(arg_max(event_type, t)) OVER (PARTITION BY user_id ORDER BY b) AS state FROM (SELECT *, {WEEKS} AS b FROM {E} AS e1) GROUP BY user_id, b) WHERE state IS NOT NULL AND ft > b))"""
+
+
+@query(f"SELECT user_id, b, CAST(coalesce(sum(CASE WHEN state = 'click' THEN e - t END), 0) AS BIGINT) AS duration FROM {_WEEK_RUNS} GROUP BY user_id, b")
+def state_interpolated_duration(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("b")
+    s = series.state_agg(_weeks(spark, sf_dir), ["user_id", "b"], "ts", "event_type").withColumn("before", F.lag("summary").over(w))
+    out = s.select("user_id", "b", state.interpolated_duration_in("summary", "click", F.col("b"), "1 week", F.col("before")).alias("duration"))
+    return out.withColumn("b", us("b"))
+
+
+# ---------------------------------------------------------------- heartbeats
+LIVE = 2 * 3600 * 1_000_000
+_ISLANDS = f"""(SELECT event_type, b, min(t) AS lo, least(max(t) + {LIVE}, b + {DAY}) AS hi, max(t) AS seen FROM (
+    SELECT event_type, b, t, sum(CASE WHEN t <= pt + {LIVE} THEN 0 ELSE 1 END) OVER (PARTITION BY event_type, b ORDER BY t) AS island FROM (
+    SELECT event_type, b, t, lag(t) OVER (PARTITION BY event_type, b ORDER BY t) AS pt FROM (SELECT *, {DAYS} AS b FROM {E} AS e1))) GROUP BY event_type, b, island)"""
+
+
+def _beats(spark, sf_dir) -> DataFrame:
+    return _events(spark, sf_dir).withColumn("b", times.time_bucket("1 day", "ts"))
+
+
+@query(f"SELECT event_type, b, lo, hi FROM {_ISLANDS}")
+def heartbeat_live_ranges(spark, sf_dir):
+    out = series.heartbeat_ranges(_beats(spark, sf_dir), ["event_type", "b"], "ts", "b", "1 day", "2 hours")
+    return out.select("event_type", us("b").alias("b"), "lo", "hi")
+
+
+@query(
+    f"""SELECT event_type, b, CAST(sum(hi - lo) AS BIGINT) AS uptime, CAST({DAY} - sum(hi - lo) AS BIGINT) AS downtime, count(*) AS live_ranges,
+    count(*) + 1 - CAST(min(lo) = b AS INT) - CAST(max(hi) = b + {DAY} AS INT) AS gaps FROM {_ISLANDS} GROUP BY event_type, b"""
+)
+def heartbeat_uptime(spark, sf_dir):
+    s = series.heartbeat_agg(_beats(spark, sf_dir), ["event_type", "b"], "ts", "b", "1 day", "2 hours")
+    h = heartbeat
+    return s.select("event_type", us("b").alias("b"), *named(uptime=h.uptime("summary"), downtime=h.downtime("summary"), live_ranges=h.num_live_ranges("summary"), gaps=h.num_gaps("summary")))
+
+
+@query(
+    f"""SELECT event_type, b, CAST(up + CASE WHEN p IS NULL OR p <= b THEN 0 ELSE least(p, first_lo) - b END AS BIGINT) AS uptime FROM (
+    SELECT *, lag(seen + {LIVE}) OVER (PARTITION BY event_type ORDER BY b) AS p FROM (SELECT event_type, b, sum(hi - lo) AS up, min(lo) AS first_lo, max(seen) AS seen FROM {_ISLANDS} GROUP BY event_type, b))"""
+)
+def heartbeat_interpolated_uptime(spark, sf_dir):
+    w = Window.partitionBy("event_type").orderBy("b")
+    s = series.heartbeat_agg(_beats(spark, sf_dir), ["event_type", "b"], "ts", "b", "1 day", "2 hours").withColumn("before", F.lag("summary").over(w))
+    # a proof from the day before ends within two hours, that is before or in the first live range
+    return s.select("event_type", us("b").alias("b"), heartbeat.interpolated_uptime("summary", "before").alias("uptime"))
+
+
+@query(
+    f"""SELECT event_type, g_lo, g_hi FROM (SELECT event_type, b, lo AS g_hi, coalesce(lag(hi) OVER (PARTITION BY event_type, b ORDER BY lo), b) AS g_lo FROM {_ISLANDS}
+    UNION ALL SELECT event_type, b, b + {DAY}, max(hi) FROM {_ISLANDS} GROUP BY event_type, b) WHERE g_lo < g_hi"""
+)
+def heartbeat_dead_ranges(spark, sf_dir):
+    s = series.heartbeat_agg(_beats(spark, sf_dir), ["event_type", "b"], "ts", "b", "1 day", "2 hours")
+    return s.select("event_type", heartbeat.dead_ranges("summary")).select("event_type", us("start").alias("g_lo"), us("end").alias("g_hi"))
+
+
+# ---------------------------------------------------------------- sketches
+_GAMMA = (1 + 0.05) / (1 - 0.05)
+_UDD = f"(SELECT event_type, CAST(ceil(ln(value) / ln({_GAMMA!r})) AS BIGINT) AS idx, count(*) AS n FROM events WHERE value > 0 GROUP BY ALL)"
+
+
+@query(f"SELECT * FROM {_UDD}")
+def udd_buckets(spark, sf_dir):
+    s = sketches.uddsketch(_events(spark, sf_dir).where("value > 0"), ["event_type"], "value", 1000, 0.05)
+    return s.select("event_type", F.explode("sketch.buckets").alias("b")).select("event_type", "b.idx", "b.n")
+
+
+def _udd_percentile_sql(p: float) -> str:
+    return f"min(CASE WHEN seen >= least(CAST(floor(total * {p}) AS BIGINT) + 1, total) THEN idx END)"
+
+
+@query(
+    f"""SELECT event_type, total AS n, {", ".join(f"round(pow({_GAMMA!r}, i{k} - 1) * 1.05, 6) AS p{k}" for k in (10, 50, 99))} FROM (
+    SELECT event_type, any_value(total) AS total, {", ".join(f"{_udd_percentile_sql(k / 100)} AS i{k}" for k in (10, 50, 99))} FROM (
+    SELECT *, CAST(sum(n) OVER (PARTITION BY event_type ORDER BY idx) AS BIGINT) AS seen, CAST(sum(n) OVER (PARTITION BY event_type) AS BIGINT) AS total FROM {_UDD}) GROUP BY event_type)"""
+)
+def udd_percentiles(spark, sf_dir):
+    daily = sketches.uddsketch(_events(spark, sf_dir).where("value > 0").withColumn("b", F.to_date("ts")), ["event_type", "b"], "value", 1000, 0.05)
+    s = sketches.rollup_uddsketch(daily, ["event_type"], "sketch", 1000, 0.05)
+    return s.select("event_type", sketches.num_vals("sketch").alias("n"), *(r(sketches.udd_percentile("sketch", k / 100), 6).alias(f"p{k}") for k in (10, 50, 99)))
+
+
+@query(
+    f"""SELECT event_type, round(sum(CASE WHEN idx < c THEN n WHEN idx = c THEN n / 2.0 ELSE 0 END) / sum(n), 6) AS rank FROM (SELECT *, CAST(ceil(ln(50.0) / ln({_GAMMA!r})) AS BIGINT) AS c FROM {_UDD}) GROUP BY event_type"""
+)
+def udd_percentile_rank(spark, sf_dir):
+    s = sketches.uddsketch(_events(spark, sf_dir).where("value > 0"), ["event_type"], "value", 1000, 0.05)
+    return s.select("event_type", r(sketches.udd_percentile_rank("sketch", 50.0), 6).alias("rank"))
+
+
+@query()
+def percentile_agg_default(spark, sf_dir):
+    s = sketches.percentile_agg(tables.table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice")
+    return s.select("l_returnflag", *(r(sketches.udd_percentile("sketch", p), 2).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75)), sketches.udd_error("sketch").alias("error"))
+
+
+@query()
+def tdigest_percentiles(spark, sf_dir):
+    s = sketches.tdigest(tables.table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", 100)
+    t = sketches
+    return s.select("l_returnflag", *(t.tdigest_percentile("sketch", p).alias(f"p{int(p * 100)}") for p in (0.05, 0.5, 0.95)), t.tdigest_percentile_rank("sketch", 30_000.0).alias("rank"), t.min_val("sketch").alias("lo"), t.max_val("sketch").alias("hi"), t.num_vals("sketch").alias("n"))
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, TRUE AS near FROM lineitem GROUP BY l_returnflag")
+def hll_against_exact(spark, sf_dir):
+    """Exact counts, and whether the sketch lies within five standard errors of them."""
+    li = tables.table(spark, sf_dir, "lineitem")
+    s = sketches.approx_count_distinct(li, ["l_returnflag"], "l_partkey")
+    exact = li.groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("parts"))
+    near = F.abs(sketches.distinct_count("sketch") - F.col("parts")) <= F.greatest(5 * sketches.stderror("sketch") * F.col("parts"), F.lit(1.0))
+    return exact.join(s, "l_returnflag").select("l_returnflag", "parts", near.alias("near"))
+
+
+@query("SELECT event_type, user_id, CAST(rn AS BIGINT) AS rn, n FROM (SELECT event_type, user_id, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) AS rn FROM events GROUP BY event_type, user_id) WHERE rn <= 3")
+def mcv_top3(spark, sf_dir):
+    s = sketches.mcv_agg(_events(spark, sf_dir), ["event_type"], "user_id", 3)
+    top = F.posexplode(F.slice("sketch.entries", 1, 3)).alias("p", "e")
+    return s.select("event_type", top).select("event_type", F.col("e.value").alias("user_id"), (F.col("p") + 1).cast("long").alias("rn"), F.col("e.count").alias("n"))
+
+
+@query("SELECT l_returnflag, l_linestatus AS value, round(n / total, 6) AS max_freq FROM (SELECT l_returnflag, l_linestatus, count(*) AS n, sum(count(*)) OVER (PARTITION BY l_returnflag) AS total FROM lineitem GROUP BY l_returnflag, l_linestatus) WHERE n / total >= 0.05")
+def freq_agg_values(spark, sf_dir):
+    s = sketches.freq_agg(tables.table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_linestatus", 0.05)
+    return s.select("l_returnflag", sketches.freq_into_values("sketch")).where("max_freq >= 0.05").select("l_returnflag", "value", r(F.col("max_freq"), 6).alias("max_freq"))
+
+
+@query("SELECT event_type AS value, count(*) AS n, TRUE AS within FROM events GROUP BY event_type")
+def count_min(spark, sf_dir):
+    """Exact counts, and whether the sketch gives no less and at most one hundredth of all more."""
+    e = _events(spark, sf_dir)
+    s = sketches.count_min_sketch(e, [], "event_type", 0.01, 0.01)
+    exact = e.groupBy(F.col("event_type").alias("value")).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    got = sketches.approx_count(F.col("value"), "sketch")
+    return exact.withColumn("total", total).crossJoin(F.broadcast(s)).select("value", "n", ((got >= F.col("n")) & (got <= F.col("n") + F.col("total") * 0.01)).alias("within"))
+
+
+# ---------------------------------------------------------------- joins, vectors, expressions
+@query("SELECT b.event_id, b.user_id, a.value AS before FROM (SELECT * FROM events WHERE event_type <> 'click') b ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'click') a ON a.user_id = b.user_id AND a.ts <= b.ts")
+def asof_join(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    left, right = e.where("event_type = 'click'"), e.where("event_type <> 'click'").select("event_id", "user_id", "ts")
+    return asof.asof_join(left, right, ["user_id"], "ts", "ts", ["value"]).select("event_id", "user_id", F.col("value").alias("before"))
+
+
+@query("SELECT b.event_id, a.value AS before FROM (SELECT * FROM events WHERE event_type <> 'click') b ASOF LEFT JOIN (SELECT ts, value FROM events WHERE event_type = 'click') a ON a.ts <= b.ts")
+def asof_join_one_series(spark, sf_dir):
+    """No keys: one series, cut by day."""
+    e = _events(spark, sf_dir)
+    left, right = e.where("event_type = 'click'"), e.where("event_type <> 'click'").select("event_id", "ts")
+    return asof.asof_join(left, right, [], "ts", "ts", ["value"], slice="1 day").select("event_id", F.col("value").alias("before"))
+
+
+@query(f"SELECT user_id, t AS at_us, round(v - pv, 6) AS d FROM {neighbours('user_id')} WHERE pt IS NOT NULL")
+def tv_delta(spark, sf_dir):
+    return series.delta(_events(spark, sf_dir), ["user_id"], "ts", "value").select("user_id", us("time").alias("at_us"), r(F.col("value"), 6).alias("d"))
+
+
+def _fill_sql(value: str) -> str:
+    return f"""SELECT user_id, at_us, round({value}, 6) AS v FROM (SELECT *, t + k * {DAY} AS at_us FROM (
+    SELECT *, unnest(range(CASE WHEN nt - t > {DAY} THEN CAST((nt - t - 1) // {DAY} AS BIGINT) ELSE 0 END + 1)) AS k FROM {neighbours("user_id")} AS n1))"""
+
+
+def _filled(spark, sf_dir, method: str) -> DataFrame:
+    return series.fill_to(_events(spark, sf_dir), ["user_id"], "ts", "value", "1 day", method).select("user_id", us("time").alias("at_us"), r(F.col("value"), 6).alias("v"))
+
+
+@query(_fill_sql("v"))
+def fill_locf(spark, sf_dir):
+    return _filled(spark, sf_dir, "locf")
+
+
+@query(_fill_sql("CASE WHEN at_us = t THEN v ELSE v + (nv - v) * (at_us - t) / CAST(nt - t AS DOUBLE) END"))
+def fill_linear(spark, sf_dir):
+    return _filled(spark, sf_dir, "linear")
+
+
+@query(_fill_sql("CASE WHEN at_us = t OR at_us - t <= nt - at_us THEN v ELSE nv END"))
+def fill_nearest(spark, sf_dir):
+    return _filled(spark, sf_dir, "nearest")
+
+
+@query(f"SELECT user_id, t AS at_us, round(v * v / 2 - v, 7) AS v FROM {E} WHERE v > 50 AND NOT (event_id % 1 = 1)")
+def tv_pipeline(spark, sf_dir):
+    s = _events(spark, sf_dir).groupBy("user_id").agg(timevector.timevector("ts", "value").alias("v"))
+    out = F.col("v") >> (timevector.sort() >> timevector.filter("$value > 50") >> timevector.map("let $a = $value ^ 2 / 2; $a - $value"))
+    return s.select("user_id", timevector.unnest(out)).select("user_id", us("time").alias("at_us"), r(F.col("value"), 7).alias("v"))
+
+
+@query(f"SELECT user_id, count(*) AS n, round(sum(abs(v - 50) / 2), 4) AS total, round(stddev_samp(abs(v - 50) / 2), 5) AS sd FROM {E} GROUP BY user_id HAVING count(*) > 1")
+def tv_terminals(spark, sf_dir):
+    t = timevector
+    s = _events(spark, sf_dir).groupBy("user_id").agg(t.timevector("ts", "value").alias("v")).where("size(v) > 1")
+    steps = t.sub(50) >> t.abs() >> t.div(2)
+    return s.select("user_id", *named(n=F.col("v") >> t.num_vals(), total=r(F.col("v") >> (steps >> t.sum())), sd=r(stats.stddev(F.col("v") >> (steps >> t.stats_agg())), 5)))
+
+
+@query(
+    """SELECT event_id, round(CASE WHEN value > 50 THEN 1 ELSE 0 END + sin(value) * ln(value + 1) - pow(value, 0.5), 5) AS x, epoch_us(ts) + 90000000 AS at_us, value > 20 AND NOT value > 40 OR value = 3 AS flag FROM events"""
+)
+def lambda_expressions(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    x = F.when(expressions.bool_lambda("$value > 50", "ts", F.col("value")), 1.0).otherwise(0.0) + expressions.f64_lambda("sin($value) * ln($value + 1) - $value ^ 0.5", "ts", F.col("value"))
+    at, flag = expressions.ttz_lambda("$time + '1 minute 30 seconds'i", "ts", F.col("value")), expressions.bool_lambda("$value > 20 and not ($value > 40) or $value = 3", "ts", F.col("value"))
+    return e.select("event_id", *named(x=r(x, 5), at_us=us(at), flag=flag))
+
+
+@query()
+def lttb_by_user(spark, sf_dir):
+    s = downsampling.lttb(_events(spark, sf_dir), ["user_id"], "ts", "value", 20)
+    return s.select("user_id", F.explode("points").alias("p")).select("user_id", F.col("p.ts").alias("at_us"), F.col("p.val").alias("v"))
+
+
+@query()
+def gp_lttb_by_user(spark, sf_dir):
+    s = downsampling.gp_lttb(_events(spark, sf_dir), ["user_id"], "ts", "value", 20, "2 days")
+    return s.select("user_id", F.explode("points").alias("p")).select("user_id", F.col("p.ts").alias("at_us"), F.col("p.val").alias("v"))
+
+
+@query()
+def asap_by_type(spark, sf_dir):
+    s = downsampling.asap_smooth(_events(spark, sf_dir), ["event_type"], "ts", "value", 100)
+    return s.select("event_type", F.explode("points").alias("p")).select("event_type", F.col("p.ts").alias("at_us"), F.col("p.val").alias("v"))
+
+
+@query()
+def to_plotly(spark, sf_dir):
+    s = _events(spark, sf_dir).groupBy("user_id").agg(timevector.timevector("ts", "value").alias("v"))
+    return s.select("user_id", timevector.to_plotly("v").alias("json"))
+
+
+# ---------------------------------------------------------------- utilities
+@query(
+    f"""SELECT event_id, {WEEKS} AS week, epoch_us(date_trunc('month', ts)) AS month, CAST(day(last_day(ts)) AS INTEGER) AS days, round(v * 30.4375 / date_diff('day', CAST(ts AS DATE), CAST(CAST(ts AS DATE) + INTERVAL 1 MONTH AS DATE)), 7) AS normal,
+    round(t / 1e6, 3) AS epoch FROM (SELECT *, epoch_us(ts) AS t, value AS v FROM events)"""
+)
+def calendar(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    return e.select("event_id", *named(week=us(times.time_bucket("1 week", "ts")), month=us(times.time_bucket("1 month", "ts")), days=times.days_in_month("ts"), normal=r(times.month_normalize("value", "ts"), 7), epoch=r(times.to_epoch("ts"), 3)))
+
+
+@query(
+    """SELECT event_id, CAST(least(greatest(a + b, -2147483648), 2147483647) AS INTEGER) AS plus, CAST(least(greatest(a - b, -2147483648), 2147483647) AS INTEGER) AS minus, CAST(least(greatest(a + b, 0), 2147483647) AS INTEGER) AS plus_pos,
+    CAST(least(greatest(a - b, 0), 2147483647) AS INTEGER) AS minus_pos, CAST(least(greatest(a * b, -2147483648), 2147483647) AS INTEGER) AS times FROM (SELECT event_id, event_id * 900000 - 2000000000 AS a, (event_id % 7 - 3) * 700000000 AS b FROM events WHERE event_id < 4000)"""
+)
+def saturating_math(spark, sf_dir):
+    e = _events(spark, sf_dir).where("event_id < 4000").select("event_id", (F.col("event_id") * 900000 - 2000000000).cast("int").alias("a"), ((F.col("event_id") % 7 - 3) * 700000000).cast("int").alias("b"))
+    t = times
+    return e.select("event_id", *named(plus=t.saturating_add("a", "b"), minus=t.saturating_sub("a", "b"), plus_pos=t.saturating_add_pos("a", "b"), minus_pos=t.saturating_sub_pos("a", "b"), times=t.saturating_multiply("a", "b")))
+
+
+@query()
+def generated_series(spark, sf_dir):
+    return tables.periodic_normal_series(spark, "2024-01-01", seed=42)
