@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tsmill.functions.base import NAN, Accessors, ColumnLike, col, ieee_div, need, sum_of
+from tsmill.functions.base import NAN, Accessors, ColumnLike, col, ieee_div, let, need, sum_of
 
 EXACT = 1 << 53
 
@@ -51,21 +51,30 @@ stats_agg_tf = stats_agg
 def merge(rows: Column, two: bool) -> Column:
     """One summary of an array of summaries."""
     held = F.filter(rows, lambda s: s.isNotNull() & (s["n"] > 0))
-    n = F.aggregate(held, F.lit(0).cast("long"), lambda acc, s: acc + s["n"])
-    out = [n.alias("n")]
-    d: dict = {}
-    for v in ("x", "y") if two else ("x",):
-        total = sum_of(held, lambda s, v=v: s[f"s{v}"])
-        mean = total / F.when(n > 0, n)
-        d[v] = lambda s, v=v, mean=mean: s[f"s{v}"] / s["n"] - mean
-        off = d[v]
-        m2 = sum_of(held, lambda s, v=v, off=off: s[f"s{v}2"] + s["n"] * off(s) * off(s))
-        m3 = sum_of(held, lambda s, v=v, off=off: s[f"s{v}3"] + 3 * off(s) * s[f"s{v}2"] + s["n"] * off(s) * off(s) * off(s))
-        m4 = sum_of(held, lambda s, v=v, off=off: s[f"s{v}4"] + 4 * off(s) * s[f"s{v}3"] + 6 * off(s) * off(s) * s[f"s{v}2"] + s["n"] * off(s) * off(s) * off(s) * off(s))
-        out += [total.alias(f"s{v}"), m2.alias(f"s{v}2"), m3.alias(f"s{v}3"), m4.alias(f"s{v}4")]
-    if two:
-        out.append(sum_of(held, lambda s: s["sxy"] + s["n"] * d["x"](s) * d["y"](s)).alias("sxy"))
-    return F.struct(*out)
+    variables = ("x", "y") if two else ("x",)
+
+    def sums(held: Column) -> Column:
+        n = F.aggregate(held, F.lit(0).cast("long"), lambda acc, s: acc + s["n"])
+        return F.struct(held.alias("held"), n.alias("n"), *(sum_of(held, lambda s, v=v: s[f"s{v}"]).alias(f"s{v}") for v in variables))
+
+    def means(t: Column) -> Column:
+        return F.struct(t.alias("t"), *((t[f"s{v}"] / F.when(t["n"] > 0, t["n"])).alias(f"m{v}") for v in variables))
+
+    def powers(r: Column) -> Column:
+        held, out = r["t"]["held"], [r["t"]["n"].alias("n")]
+        off = {v: (lambda s, v=v: s[f"s{v}"] / s["n"] - r[f"m{v}"]) for v in variables}
+        for v in variables:
+            d = off[v]
+            m2 = sum_of(held, lambda s, v=v, d=d: s[f"s{v}2"] + s["n"] * d(s) * d(s))
+            m3 = sum_of(held, lambda s, v=v, d=d: s[f"s{v}3"] + 3 * d(s) * s[f"s{v}2"] + s["n"] * d(s) * d(s) * d(s))
+            m4 = sum_of(held, lambda s, v=v, d=d: s[f"s{v}4"] + 4 * d(s) * s[f"s{v}3"] + 6 * d(s) * d(s) * s[f"s{v}2"] + s["n"] * d(s) * d(s) * d(s) * d(s))
+            out += [r["t"][f"s{v}"].alias(f"s{v}"), m2.alias(f"s{v}2"), m3.alias(f"s{v}3"), m4.alias(f"s{v}4")]
+        if two:
+            out.append(sum_of(held, lambda s: s["sxy"] + s["n"] * off["x"](s) * off["y"](s)).alias("sxy"))
+        return F.struct(*out)
+
+    # the sums are bound before the moments around their means are taken, so that the work is linear
+    return let(let(let(held, sums), means), powers)
 
 
 def rollup(summary: ColumnLike) -> Column:
