@@ -26,7 +26,7 @@ SMOOTH = 0.01
 UNKNOWN = 1e-9
 #: Longest word that is summed in plain probabilities; longer ones are summed in logarithms.
 PLAIN = 24
-KEPT_WORDS = 600_000
+KEPT_WORDS = 250_000
 WORDS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
