@@ -5,7 +5,7 @@ Words and word pairs of the training documents are counted by 64-bit hash. A cou
 one is missing gives the level back, never too low and seldom too high. The filter is broadcast, and
 P(w | v) = (low(v w) + ALPHA * P(w)) / (high(v) + ALPHA), P(w) = (low(w) + 0.1) / (N + 0.1 (V + 1)), low and high being the
 least and the largest count of a level: this sums to one at most over all w, but for false positives. The filter's size
-is known before it is gathered; over MOST_MB the same levels are joined to the texts' pairs by hash instead.
+is known before it is gathered; over MOST_MB it is not gathered, and the probes travel to its segments instead.
 
 The base score needs exact counts. Tokens that make up over 1 / HOT of all (HOT of them at most) are looked up in a
 broadcast table, the rest are joined.
@@ -179,10 +179,10 @@ class LogFrequencyFilter:
     def __init__(self, segments: list[bytes]):
         self.segments = segments
 
-    def level(self, h: np.ndarray) -> np.ndarray:
+    def level(self, h: np.ndarray, sorted_: bool = False) -> np.ndarray:
         """The level of each hash, by one membership probe after the other."""
-        order = np.argsort(h)
-        h = h[order]
+        order = None if sorted_ else np.argsort(h)
+        h = h if sorted_ else h[order]
         q = np.zeros(len(h), np.int64)
         bounds = np.searchsorted(_segment(h, len(self.segments)), np.arange(len(self.segments) + 1))
         for segment, lo, hi in zip(self.segments, bounds, bounds[1:]):
@@ -192,6 +192,8 @@ class LogFrequencyFilter:
                 left = left[(words[at] & mask) == mask]
                 q[left] = k
                 k += 1
+        if sorted_:
+            return q
         out = np.empty_like(q)
         out[order] = q
         return out
@@ -203,11 +205,6 @@ def _filter_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([s], pa.int32()), pa.array([w.tobytes()], pa.binary()), pa.array([w.nbytes], pa.int64())], names=["segment", "words", "size"])
 
 
-def _level_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, h, c in _by_segment(batches):
-        yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(level(c).astype(np.int32))], names=["h", "q"])
-
-
 class Counts:
     """What training gives: exact word counts as a table, totals, and pair counts in packed blobs by segment."""
 
@@ -300,13 +297,9 @@ def score(docs: DataFrame, train: DataFrame, keep: tuple[str, ...] = ("doc_id",)
             total = np.zeros(len(found))
             if lm is not None:
                 q = lm.level(word_key(u))[inverse]
-                before = np.concatenate([[0.0], high(q[:-1])])
-                before[ends[:-1]] = start_high
                 pair = np.concatenate([pairs_of(x) for x in found])
                 p, back = np.unique(pair, return_inverse=True)
-                both = low(lm.level(p))[back]
-                prob = (both + alpha * (low(q) + 0.1) / denominator) / (before + alpha)
-                total = np.bincount(doc, np.log10(prob), len(found))
+                total = _log_probability(q, lm.level(p, sorted_=True)[back], ends, denominator, start_high, alpha)
             rare = np.flatnonzero(~mine)  # tokens to be joined: one row for each token of a document, with its number
             key = doc[rare].astype(np.int64) * len(u) + inverse[rare]
             key, times = np.unique(key, return_counts=True)
@@ -349,7 +342,7 @@ def score(docs: DataFrame, train: DataFrame, keep: tuple[str, ...] = ("doc_id",)
     out = passed.drop("rare").join(rest, "__k", "left").join(copies, "__k", "left")
     times = F.coalesce("copies", F.lit(1))
     if not by_filter:
-        out = out.drop("total").join(_score_by_join(narrow, counts, alpha), "__k", "left").withColumn("total", F.col("total") / times)
+        out = out.drop("total").join(_score_in_segments(narrow, rows, counts, alpha), "__k", "left")
     return out.select(
         *keep,
         "n_tokens",
@@ -360,33 +353,64 @@ def score(docs: DataFrame, train: DataFrame, keep: tuple[str, ...] = ("doc_id",)
     )
 
 
-def _score_by_join(narrow: DataFrame, counts: Counts, alpha: float) -> DataFrame:
-    """__k, total: the same probabilities, their levels joined by hash in place of being probed for."""
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = _hash([START_TOKEN])
-        for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = tokens_of(t)
-                v = np.concatenate([start, w[:-1]])
-                p = pairs_of(w)
-                _, first, n = np.unique(p, return_index=True, return_counts=True)
-                for s in range(0, len(first), 100_000):
-                    f = first[s : s + 100_000]
-                    yield pa.record_batch([pa.array([k] * len(f), pa.int64()), *(pa.array(x[f].view(np.int64)) for x in (v, w, p)), pa.array(n[s : s + 100_000])], names=["__k", "v", "w", "p", "n"])
-
-    rows = narrow.select("__k", "__text").mapInArrow(pairs, "__k long, v long, w long, p long, n long")
-    levels = counts.blobs.mapInArrow(_level_rows, "h long, q int")
-    levels = cut(levels, "levels")
-    words = counts.words.select("h", (F.floor(F.log2("c")) + 1).alias("q"))
-    rows = rows.join(levels.select(F.col("h").alias("p"), F.col("q").alias("qp")), "p", "left")
-    rows = rows.join(words.select(F.col("h").alias("w"), F.col("q").alias("qw")), "w", "left")
-    rows = rows.join(words.select(F.col("h").alias("v"), F.col("q").alias("qv")), "v", "left")
-    low_ = lambda q: F.when(F.col(q).isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(2.0), F.col(q) - 1))
-    start = int(_hash([START_TOKEN]).view(np.int64)[0])
-    high_ = F.when(F.col("v") == start, F.lit(float(counts.docs))).otherwise(F.pow(F.lit(2.0), F.coalesce("qv", F.lit(0))) - 1)
-    prob = (low_("qp") + alpha * (low_("qw") + 0.1) / counts.denominator) / (high_ + alpha)
-    return rows.groupBy("__k").agg(F.sum(F.col("n") * F.log10(prob)).alias("total"))
+def _probes(h_words: np.ndarray, h_pairs: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys that a group of documents asks the filter for, and where each segment's begin."""
+    keys = np.unique(np.concatenate([word_key(h_words), h_pairs]))
+    return keys, np.searchsorted(_segment(keys, segments), np.arange(segments + 1))
+
+
+def _score_in_segments(narrow: DataFrame, rows: DataFrame, counts: Counts, alpha: float) -> DataFrame:
+    """__k, total: the same scores from a filter of any size. Its segments stay where they are, and the probes of groups
+    of documents travel to them and come back as levels; each document's text moves once."""
+    segments, denominator, start_high = counts.segments, counts.denominator, float(counts.docs)
+    groups = max(1, -(-counts.n // SCORED))
+    asked = narrow.select("__k", "__text", F.pmod(F.xxhash64("__k"), F.lit(groups)).cast("int").alias("f"))
+
+    def read(table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        order = np.argsort(table.column("__k").to_numpy(), kind="stable")
+        found = [tokens_of(t) for t in table.column("__text").to_pylist()]
+        found = [found[i] for i in order]
+        return found, table.column("__k").to_numpy()[order], np.concatenate(found)
+
+    def ask(key, table):
+        found, _, h = read(table)
+        keys, cuts = _probes(h, np.concatenate([pairs_of(x) for x in found]), segments)
+        at = np.flatnonzero(np.diff(cuts)).tolist()
+        parts = [keys[cuts[s] : cuts[s + 1]].tobytes() for s in at]
+        return pa.table({"segment": pa.array(at, pa.int32()), "f": pa.array([key[0].as_py()] * len(at), pa.int32()), "h": pa.array(parts, pa.binary())})
+
+    def answer(key, left, right):
+        words = left.column("words").to_pylist()[0] if left.num_rows else bytes(8)
+        one = LogFrequencyFilter([words])
+        levels = [one.level(np.frombuffer(h, np.uint64), sorted_=True).astype(np.uint8).tobytes() for h in right.column("h").to_pylist()]
+        return pa.table({"f": right.column("f"), "segment": right.column("segment"), "q": pa.array(levels, pa.binary())})
+
+    def finish(key, left, right):
+        if not right.num_rows:
+            return pa.table({"__k": pa.array([], pa.int64()), "total": pa.array([], pa.float64())})
+        found, ks, h = read(right)
+        pairs = np.concatenate([pairs_of(x) for x in found])
+        keys, _ = _probes(h, pairs, segments)
+        order = np.argsort(left.column("segment").to_numpy())
+        blobs = left.column("q").to_pylist()
+        q = np.frombuffer(b"".join([blobs[i] for i in order]), np.uint8).astype(np.int64)
+        of = lambda x: q[np.searchsorted(keys, x)]
+        ends = _ends([len(x) for x in found])
+        totals = _log_probability(of(word_key(h)), of(pairs), ends, denominator, start_high, alpha)
+        return pa.table({"__k": pa.array(ks), "total": pa.array(totals)})
+
+    probes = asked.groupBy("f").applyInArrow(ask, "segment int, f int, h binary")
+    levels = rows.select("segment", "words").groupBy("segment").cogroup(probes.groupBy("segment")).applyInArrow(answer, "f int, segment int, q binary")
+    totals = levels.groupBy("f").cogroup(asked.groupBy("f")).applyInArrow(finish, "__k long, total double")
+    return totals.groupBy("__k").agg(F.first("total").alias("total"))  # rows that agree have equal scores
+
+
+def _log_probability(q: np.ndarray, both: np.ndarray, ends: np.ndarray, denominator: float, start_high: float, alpha: float) -> np.ndarray:
+    """Log10 probability of each document from the levels of its words and pairs; ends: where documents begin and end."""
+    before = np.concatenate([[0.0], high(q[:-1])])
+    before[ends[:-1]] = start_high
+    prob = (low(both) + alpha * (low(q) + 0.1) / denominator) / (before + alpha)
+    return np.add.reduceat(np.log10(prob), ends[:-1])
 
 
 def score_documents(docs: DataFrame, **options) -> DataFrame:
