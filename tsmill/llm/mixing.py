@@ -107,7 +107,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0)
     block = min(MAX_BLOCK, max(1, -(-words // SLOTS)))
     taken = schedule(spark, by_source, words * share, block)
 
-    buckets = rows // 4096 + 1
+    buckets = rows // 1024 + 1
     keyed = sized.join(_small(by_source, n_sources), sized["source"].eqNullSafe(by_source["source"])).select(
         "doc_id", sized["source"], "h", "size", "sid", "source_size", "target", F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")
     )
