@@ -64,7 +64,8 @@ def to_text(vector: ColumnLike, template: str) -> Column:
 def asof(left: ColumnLike, right: ColumnLike) -> Column:
     """array<struct<value1, value2, time>>: for each point of right the last value of left at or before it.
 
-    Both are sorted; the two are merged and folded once, so the work is linear. See operators.asof for tables.
+    Meant for vectors of some thousands of points, as each step copies what has been found so far; operators.asof
+    joins tables of any size.
     """
     a = F.transform(col(left), lambda p: F.struct(p["ts"].alias("ts"), F.lit(0).alias("side"), p["val"].alias("val")))
     b = F.transform(col(right), lambda p: F.struct(p["ts"].alias("ts"), F.lit(1).alias("side"), p["val"].alias("val")))

@@ -5,6 +5,8 @@ Numbers are rounded on both sides, counts are long, times are microseconds since
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +14,9 @@ from pyspark.sql import functions as F
 
 from tsmill.functions import candlestick, expressions, heartbeat, metrics, nmost, state, stats, times, timevector, timeweight
 from tsmill.operators import asof, downsampling, ranking, series, sketches
+from tsmill.plans import sql as front
 from tsmill.sources import tables
+from tsmill.streaming import aggregates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -225,6 +229,27 @@ def gauge_interpolated(spark, sf_dir):
     return s.select("user_id", "b", r(metrics.gauge_interpolated_delta("summary", F.col("b"), "1 week", "before", "after")).alias("delta")).withColumn("b", us("b"))
 
 
+@query(
+    f"""SELECT event_type, count(*) AS n, count(CASE WHEN v <> pv THEN 1 END) AS num_changes, round(max(CASE WHEN nt IS NULL THEN v END) - max(CASE WHEN pt IS NULL THEN v END), 4) AS delta,
+    round(regr_slope(v, x) * 1e6, 3) AS slope, round(max(CASE WHEN nt IS NULL THEN v END) - max(CASE WHEN nt IS NULL THEN CASE WHEN v >= pv THEN pv ELSE 0 END END), 4) AS idelta_right FROM {adjusted("event_type")} GROUP BY event_type"""
+)
+def gauge_rollup_daily(spark, sf_dir):
+    daily = series.gauge_agg(_events(spark, sf_dir).withColumn("b", times.time_bucket("1 day", "ts")), ["event_type", "b"], "ts", "value")
+    m, s = metrics, "summary"
+    out = daily.groupBy("event_type").agg(m.rollup_gauge(s).alias(s))
+    return out.select("event_type", *named(n=m.num_elements(s), num_changes=m.num_changes(s), delta=r(m.delta(s)), slope=r(m.slope(s) * 1e6, 3), idelta_right=r(m.idelta_right(s))))
+
+
+@query(
+    f"""SELECT user_id, round(max(CASE WHEN pt IS NULL THEN CASE WHEN nv >= v THEN nv - v ELSE nv END / ((nt - t) / 1e6) END), 8) AS irate_left, min(t) AS first_time, max(t) AS last_time,
+    round(max(CASE WHEN pt IS NULL THEN v END), 4) AS first_val FROM {adjusted("user_id")} GROUP BY user_id"""
+)
+def counter_ends(spark, sf_dir):
+    m, s = metrics, "summary"
+    e = _events(spark, sf_dir).groupBy("user_id").agg(m.counter_agg("ts", "value").alias(s))
+    return e.select("user_id", *named(irate_left=r(F.col(s) >> m.acc.irate_left(), 8), first_time=us(F.col(s) >> m.acc.first_time()), last_time=us(F.col(s) >> m.acc.last_time()), first_val=r(F.col(s) >> m.acc.first_val())))
+
+
 # ---------------------------------------------------------------- time weights
 def _weight_sql(area: str) -> str:
     return f"""SELECT user_id, round(sum({area}) / nullif(max(t) - min(t), 0), 5) AS average, round(coalesce(sum({area}), 0) / 3600e6, 3) AS integral FROM {neighbours("user_id")} GROUP BY user_id"""
@@ -268,6 +293,13 @@ def twa_interpolated(spark, sf_dir):
     return out.where("average is not null").withColumn("b", us("b"))
 
 
+@query(f"SELECT user_id, round(max(CASE WHEN pt IS NULL THEN v END), 4) AS first_val, round(max(CASE WHEN nt IS NULL THEN v END), 4) AS last_val, min(t) AS first_time, max(t) AS last_time FROM {neighbours('user_id')} GROUP BY user_id")
+def twa_ends(spark, sf_dir):
+    w, s = timeweight, "summary"
+    e = _events(spark, sf_dir).groupBy("user_id").agg(w.time_weight("locf", "ts", "value").alias(s))
+    return e.select("user_id", *named(first_val=r(w.first_val(s)), last_val=r(w.last_val(s)), first_time=us(w.first_time(s)), last_time=us(w.last_time(s))))
+
+
 # ---------------------------------------------------------------- candlesticks
 _CANDLES = "round(arg_min(v, t), 4) AS open, round(max(v), 4) AS high, round(min(v), 4) AS low, round(arg_max(v, t), 4) AS close, min(t) AS open_time, max(t) AS close_time, CAST(count(*) AS DOUBLE) AS volume, round(sum(v) / count(*), 4) AS vwap"
 
@@ -392,6 +424,18 @@ def state_interpolated_duration(spark, sf_dir):
     return out.withColumn("b", us("b"))
 
 
+@query(f"SELECT user_id, state, CAST(sum(end_us - start_us) AS BIGINT) AS duration FROM {_RUNS} GROUP BY user_id, state")
+def state_compact(spark, sf_dir):
+    s = _events(spark, sf_dir).groupBy("user_id").agg(state.compact_state_agg("ts", "event_type").alias("summary"))
+    return s.select("user_id", state.compact_into_values("summary"))
+
+
+@query(f"SELECT user_id, CAST(length(state) AS BIGINT) AS state, CAST(sum(end_us - start_us) AS BIGINT) AS duration FROM {_RUNS.replace('event_type AS state', 'length(event_type) AS state').replace('lag(event_type)', 'lag(length(event_type))').replace('length(state)', 'state')} GROUP BY user_id, state".replace("CAST(length(state) AS BIGINT)", "CAST(state AS BIGINT)"))
+def state_of_integers(spark, sf_dir):
+    e = _events(spark, sf_dir).withColumn("n", F.length("event_type").cast("long"))
+    return series.state_agg(e, ["user_id"], "ts", "n").select("user_id", state.into_int_values("summary"))
+
+
 # ---------------------------------------------------------------- heartbeats
 LIVE = 2 * 3600 * 1_000_000
 _ISLANDS = f"""(SELECT event_type, b, min(t) AS lo, least(max(t) + {LIVE}, b + {DAY}) AS hi, max(t) AS seen FROM (
@@ -439,6 +483,25 @@ def heartbeat_dead_ranges(spark, sf_dir):
     return s.select("event_type", heartbeat.dead_ranges("summary")).select("event_type", us("start").alias("g_lo"), us("end").alias("g_hi"))
 
 
+@query(
+    f"""SELECT event_type, b, CAST(coalesce(sum(CASE WHEN hi > b + 6 * 3600000000 AND lo < b + 18 * 3600000000 THEN least(hi, b + 18 * 3600000000) - greatest(lo, b + 6 * 3600000000) ELSE 0 END), 0) AS BIGINT) AS midday,
+    coalesce(bool_or(lo <= b + 12 * 3600000000 AND b + 12 * 3600000000 < hi), FALSE) AS at_noon FROM {_ISLANDS} GROUP BY event_type, b"""
+)
+def heartbeat_midday(spark, sf_dir):
+    """Spans cut to six hours around noon, and whether noon was live."""
+    h = heartbeat
+    s = series.heartbeat_agg(_beats(spark, sf_dir), ["event_type", "b"], "ts", "b", "1 day", "2 hours").withColumns({"six": F.col("b") + F.make_dt_interval(hours=F.lit(6)), "noon": F.col("b") + F.make_dt_interval(hours=F.lit(12))})
+    out = s.select("event_type", "b", *named(midday=h.uptime(h.trim_to("summary", F.col("six"), "12 hours")), at_noon=h.live_at("summary", F.col("noon"))))
+    return out.withColumn("b", us("b"))
+
+
+@query(f"SELECT event_type, CAST(sum(hi - lo) AS BIGINT) AS uptime FROM {_ISLANDS} GROUP BY event_type")
+def heartbeat_rollup(spark, sf_dir):
+    """Ranges that touch at midnight become one; the time they cover stays, as none is proven past its day."""
+    s = series.heartbeat_agg(_beats(spark, sf_dir), ["event_type", "b"], "ts", "b", "1 day", "2 hours").groupBy("event_type").agg(heartbeat.rollup("summary").alias("summary"))
+    return s.select("event_type", heartbeat.uptime("summary").alias("uptime"))
+
+
 # ---------------------------------------------------------------- sketches
 _GAMMA = (1 + 0.05) / (1 - 0.05)
 _UDD = f"(SELECT event_type, CAST(ceil(ln(value) / ln({_GAMMA!r})) AS BIGINT) AS idx, count(*) AS n FROM events WHERE value > 0 GROUP BY ALL)"
@@ -572,6 +635,57 @@ def tv_pipeline(spark, sf_dir):
     return s.select("user_id", timevector.unnest(out)).select("user_id", us("time").alias("at_us"), r(F.col("value"), 7).alias("v"))
 
 
+@query("SELECT b.event_id, b.user_id, a.value AS value1, b.value AS value2 FROM (SELECT * FROM events WHERE event_type <> 'click') b ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'click') a ON a.user_id = b.user_id AND a.ts <= b.ts WHERE b.user_id IN (SELECT user_id FROM events WHERE event_type = 'click')")
+def tv_asof(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    click = F.col("event_type") == "click"
+    tv = timevector
+    pairs = e.groupBy("user_id").agg(tv.timevector(F.when(click, F.col("ts")), "value").alias("a"), tv.timevector(F.when(~click, F.col("ts")), "value").alias("b")).where("size(a) > 0 AND size(b) > 0")
+    out = pairs.select("user_id", F.inline(tv.asof("a", "b")))
+    return out.join(e.select("user_id", F.col("ts").alias("time"), "event_id"), ["user_id", "time"]).select("event_id", "user_id", "value1", "value2")
+
+
+@query(
+    f"""SELECT user_id, t AS at_us, round(v % 7, 6) AS m, round(pow(v, 1.5), 4) AS p, round(ln(v) / ln(3), 6) AS l, round(cbrt(v), 6) AS c, floor(v / 3) AS f, ceil(v / 3) AS e, round(log10(v), 6) AS g, sqrt(floor(v)) AS s, trunc(v) AS w, CAST(sign(v - 50.005) AS DOUBLE) AS x
+    FROM {E} WHERE v > 0"""
+)
+def tv_arithmetic(spark, sf_dir):
+    t = timevector
+    s = _events(spark, sf_dir).where("value > 0").groupBy("user_id").agg(t.timevector("ts", "value").alias("v"))
+    steps = {
+        "m": t.mod(7), "p": t.power(1.5), "l": t.logn(3), "c": t.cbrt(), "f": t.div(3) >> t.floor(), "e": t.div(3) >> t.ceil(), "g": t.log10(), "s": t.floor() >> t.sqrt(), "w": t.trunc(), "x": t.sub(50.005) >> t.sign(),
+    }
+    digits = {"m": 6, "p": 4, "l": 6, "c": 6, "g": 6}
+    done = s.select("user_id", "v", *((F.col("v") >> p).alias(n) for n, p in steps.items()))
+    rows = done.select("user_id", F.explode(F.arrays_zip("v", *steps)).alias("z"))
+    return rows.select("user_id", F.col("z.v.ts").alias("at_us"), *((r(F.col(f"z.{n}.val"), digits[n]) if n in digits else F.col(f"z.{n}.val")).alias(n) for n in steps))
+
+
+@query(f"SELECT user_id, count(*) AS n, count(CASE WHEN v < pv THEN 1 END) AS num_resets, round(max(CASE WHEN nt IS NULL THEN y END) - max(CASE WHEN pt IS NULL THEN v END), 4) AS delta FROM {adjusted('user_id')} GROUP BY user_id")
+def tv_counter(spark, sf_dir):
+    t, m = timevector, metrics
+    s = _events(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("d")).agg(t.timevector("ts", "value").alias("v")).groupBy("user_id").agg(t.rollup("v").alias("v"))
+    s = s.select("user_id", (F.col("v") >> t.counter_agg()).alias("c"))
+    return s.select("user_id", *named(n=m.num_elements("c"), num_resets=m.num_resets("c"), delta=r(m.delta("c"))))
+
+
+@query()
+def tv_sketches(spark, sf_dir):
+    t = timevector
+    s = _events(spark, sf_dir).groupBy("event_type", F.to_date("ts").alias("d")).agg(t.timevector("ts", "value").alias("v"))
+    p, h = F.col("v") >> t.percentile_agg(), F.col("v") >> t.hyperloglog(256)
+    return s.select("event_type", "d", *named(p50=sketches.udd_percentile(p, 0.5), distinct=sketches.distinct_count(h)))
+
+
+@query(f"SELECT event_type, strftime(min(ts), '%Y') || '|' || CAST(count(*) AS VARCHAR) AS text FROM events GROUP BY event_type")
+def tv_to_text(spark, sf_dir):
+    """The year of the first point and the number of points, read out of the text form."""
+    t = timevector
+    s = _events(spark, sf_dir).groupBy("event_type").agg(t.timevector("ts", "value").alias("v")).select("event_type", t.to_text("v", "{{TIMES}}|{{VALUES}}").alias("x"))
+    n = F.size(F.split(F.element_at(F.split("x", "[|]"), 2), ","))
+    return s.select("event_type", F.concat_ws("|", F.substring("x", 3, 4), n.cast("string")).alias("text"))
+
+
 @query(f"SELECT user_id, count(*) AS n, round(sum(abs(v - 50) / 2), 4) AS total, round(stddev_samp(abs(v - 50) / 2), 5) AS sd FROM {E} GROUP BY user_id HAVING count(*) > 1")
 def tv_terminals(spark, sf_dir):
     t = timevector
@@ -634,6 +748,55 @@ def saturating_math(spark, sf_dir):
     return e.select("event_id", *named(plus=t.saturating_add("a", "b"), minus=t.saturating_sub("a", "b"), plus_pos=t.saturating_add_pos("a", "b"), minus_pos=t.saturating_sub_pos("a", "b"), times=t.saturating_multiply("a", "b")))
 
 
+@query(f"SELECT event_id, {DAYS} AS lo, {DAYS} + {DAY} AS hi, epoch_us(date_trunc('month', ts)) AS month_lo, epoch_us(date_trunc('month', ts) + INTERVAL 1 MONTH) AS month_hi FROM (SELECT *, epoch_us(ts) AS t FROM events)")
+def bucket_ranges(spark, sf_dir):
+    d, m = times.time_bucket_range("1 day", "ts"), times.time_bucket_range("1 month", "ts")
+    return _events(spark, sf_dir).select("event_id", *named(lo=us(d["lo"]), hi=us(d["hi"]), month_lo=us(m["lo"]), month_hi=us(m["hi"])))
+
+
+@query(
+    f"""SELECT user_id, round(max(y) - arg_min(v, t), 4) AS delta, round(avg(v), 4) AS average FROM {adjusted("user_id")} GROUP BY user_id"""
+)
+def sql_front_end(spark, sf_dir):
+    """The same summaries by name, in SQL."""
+    _events(spark, sf_dir).createOrReplaceTempView("tsmill_events")
+    return front.sql(
+        spark,
+        """WITH daily AS (SELECT user_id, time_bucket('1 day', ts) AS d, counter_agg(ts, value) AS c, stats_agg(value) AS s FROM tsmill_events GROUP BY 1, 2)
+        SELECT user_id, round(delta(rollup(c)), 4) AS delta, round(rollup(s) -> average(), 4) AS average FROM daily GROUP BY user_id""",
+    )
+
+
+@query(f"SELECT event_type, b, count(*) AS n, round(avg(v), 4) AS average FROM (SELECT event_type, t - t % {DAY} AS b, v, max(t) OVER () - {DAY} AS closed FROM {E}) WHERE b + {DAY} <= closed GROUP BY event_type, b")
+def stream_of_days(spark, sf_dir):
+    """Days that a stream of the events has closed, at a watermark of one day."""
+    path = sources_folder(spark)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "*.parquet").parquet(_streamable(spark, rows, path))
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    out = aggregates.windowed(stream, "ts", "1 day", ["event_type"], {"s": stats.stats_agg("value")}, "1 day")
+    q = out.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.read.schema(out.schema).parquet(f"{path}/out")
+    return got.select("event_type", us("bucket").alias("b"), *named(n=stats.num_vals("s"), average=r(stats.average("s"))))
+
+
+def _streamable(spark: SparkSession, rows: DataFrame, path: str) -> str:
+    """A folder that holds the rows as arriving files."""
+    rows.write.parquet(f"{path}/in")
+    return f"{path}/in"
+
+
+def sources_folder(spark: SparkSession) -> str:
+    """A new folder that all executors reach: in spark.checkpoint.dir, or a temporary one in local mode without it."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tsmill-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
 @query()
 def generated_series(spark, sf_dir):
     return tables.periodic_normal_series(spark, "2024-01-01", seed=42)
