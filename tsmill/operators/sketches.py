@@ -39,8 +39,11 @@ def _levels(buckets: Column, size: int) -> Column:
 
 
 def _finish(grouped: DataFrame, keys: list[str], size: int, error: float, name: str) -> DataFrame:
-    """grouped: keys, sign, idx, c (compactions so far), n, total for each bucket."""
-    most = F.max("c").over(Window.partitionBy(*keys)) if keys else F.max("c").over(Window.partitionBy(F.lit(0)))
+    """grouped: keys, sign, idx, n, total for each bucket, and c, the compactions so far, if there were any."""
+    if "c" in grouped.columns:
+        most = F.max("c").over(Window.partitionBy(*(keys or [F.lit(0)])))
+    else:  # nothing has been compacted yet
+        grouped, most = grouped.withColumn("c", F.lit(0)), F.lit(0)
     level = grouped.withColumn("most", most).withColumn("idx", _compacted(F.col("idx"), F.col("most") - F.col("c")))
     level = level.groupBy(*keys, "sign", "idx", "most").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     listed = _by(level, keys).agg(F.max("most").alias("most"), F.collect_list(F.struct("sign", "idx", "n", "total")).alias("b"))
@@ -67,7 +70,7 @@ def uddsketch(df: DataFrame, keys: list[str], value: str, size: int, max_error:
     idx = F.when(v == 0, F.lit(0)).otherwise(F.ceil(F.ln(F.abs(v)) / F.lit(log_gamma))).cast("long")
     sign = F.when(v > 0, 1).when(v < 0, -1).otherwise(0)
     rows = df.where(v.isNotNull()).select(*keys, sign.alias("sign"), idx.alias("idx"), v.alias("v"))
-    grouped = rows.groupBy(*keys, "sign", "idx").agg(F.count("*").alias("n"), F.sum("v").alias("total")).withColumn("c", F.lit(0))
+    grouped = rows.groupBy(*keys, "sign", "idx").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
     return _finish(grouped, keys, size, max_error, name)
 
 
