@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 #: Stands for the end-of-word suffix: one symbol more at the end of each word.
 END = "￿"
 #: Words kept with their tokens by each Python worker; longer words are not kept.
-KEPT_WORDS, KEPT_LENGTH = 300_000, 40
+KEPT_WORDS, KEPT_LENGTH = 150_000, 40
 
 _L, _N, _S = "a-zªµºß-öø-ÿĀ-ſ", "0-9²³¹¼-¾", r"\t\n\x0b\x0c\r \x85\xa0"
 #: Lower-cased text of code points below U+0180, which no normal form changes.
