@@ -144,6 +144,11 @@ def to_epoch(ts: ColumnLike) -> Column:
     return micros(ts).cast("double") / 1e6
 
 
+def as_interval(us: Column) -> Column:
+    """Microseconds, as durations are given by this library, as a day-time interval."""
+    return F.make_dt_interval(secs=(us / F.lit(1_000_000)).cast("decimal(18,6)"))
+
+
 def days_in_month(ts: ColumnLike) -> Column:
     return F.dayofmonth(F.last_day(col(ts).cast("timestamp").cast("date"))).cast("int")
 
