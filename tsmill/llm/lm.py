@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tsmill.llm.common import cut, drop_cut, remainder
 
 ALPHA = 1000.0
-HOT = 200_000
+HOT = 2_000_000
 MOST_MB = 400
 #: Bits of the filter for each level held, and how many of them a level sets, all in one 64-bit word.
 BITS, SET = 16, 4
