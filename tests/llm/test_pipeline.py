@@ -40,7 +40,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     kept = [x for x in rows if x[1] and any(map(str.isalpha, x[1]))]
     assert sorted(map(tuple, states[0].collect()), key=lambda x: x[0]) == kept
     # near copies: the smallest id of each group stays
-    part = groups([plain(x[1]) for x in kept])
+    part = groups([plain(x[1], 5) for x in kept])
     kept = [x for i, x in enumerate(kept) if part[i] == i]
     assert sorted(x.doc_id for x in states[1].collect()) == [x[0] for x in kept] and len(kept) <= 120
     # passages

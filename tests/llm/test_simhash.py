@@ -8,14 +8,14 @@ from tsmill.llm import simhash as S
 from tsmill.llm.common import connected_components
 
 
-def plain(text):
+def plain(text, width=3):
     if text is None:
         return 0
     w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
     w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", w) if x]
     if not w:
         return 0
-    sh = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+    sh = [" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))]
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
@@ -39,7 +39,8 @@ def groups(fps):
 def test_fingerprint_matches_the_definition():
     r = random.Random(1)
     for text in [None, "", " \t\n", "One", "one  TWO", "a b c d", "É é ß A B c", *(" ".join(r.choice("abcdefg") for _ in range(n)) for n in (3, 9, 400))]:
-        assert S.fingerprint(None if text is None else text.encode()) == plain(text)
+        for width in (3, 5):
+            assert S.fingerprint(None if text is None else text.encode(), width) == plain(text, width)
 
 
 def test_words_within_two_bits_share_a_key():
@@ -107,7 +108,7 @@ def test_near_duplicates_against_brute_force(spark):
     least = {p: min((d for (d, _), q in zip(rows, part) if q == p and d is not None)) for p in part}
     want = sorted((d is None, d or 0, f"{f:016x}", least[p]) for (d, _), f, p in zip(rows, fps, part))
     assert got == want
-    kept = sorted(x.doc_id for x in S.keep_one(df).where("doc_id is not null").collect())
+    kept = sorted(x.doc_id for x in S.keep_one(df, 3).where("doc_id is not null").collect())
     assert kept == sorted({w[3] for w in want})
 
 

@@ -61,16 +61,16 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits(bits * 2 > len(a), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64)
-        yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) of every row, from shingles of `width` words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64)
+            yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
     narrow = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return narrow.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return narrow.mapInArrow(run, "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------- the code
@@ -255,13 +255,13 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the group) for every row of docs.
 
     Null and blank texts have fingerprint zero and are linked like any other. Repeated rows stay repeated. A null
     doc_id is kept; it names a group only if the group has no other id. Columns other than doc_id and text are not read.
     """
-    fps = cut(fingerprints(docs), "simhash")
+    fps = cut(fingerprints(docs, width), "simhash")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     parts = connected_components(link_fingerprints(distinct))
     named = (
@@ -283,11 +283,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """docs without those that are not the smallest doc_id of their group; of rows repeating an id, one stays.
 
+    Shingles are of five words here. Fingerprints within three bits stand for a similarity of well over 0.8.
+
     Rows whose doc_id is null are kept: nothing names them.
     """
-    keepers = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    keepers = near_duplicates(docs, width).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))
