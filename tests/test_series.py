@@ -47,17 +47,17 @@ def test_windows_and_folds_agree(events, slice):
         (series.gauge_agg(e, ["user_id"], "ts", "value", slice=slice), metrics.gauge_agg("ts", "value")),
         (series.time_weight(e, ["user_id"], "linear", "ts", "value", slice=slice), timeweight.time_weight("linear", "ts", "value")),
     ]
-    if slice is None:
-        pairs.append((series.state_agg(e, ["user_id"], "ts", "state"), state.state_agg("ts", "state")))
+    pairs.append((series.state_agg(e, ["user_id"], "ts", "state", slice=slice), state.state_agg("ts", "state")))
     for frame, agg in pairs:
         a = {r.user_id: r.summary for r in frame.collect()}
         b = {r.user_id: r.summary for r in e.groupBy("user_id").agg(agg.alias("summary")).collect()}
         assert a.keys() == b.keys() and all(close(a[k], b[k]) for k in a)
 
 
-def test_heartbeats_agree(events):
+@pytest.mark.parametrize("slice", [None, "3 hours"])
+def test_heartbeats_agree(events, slice):
     e = events.withColumn("start", F.date_trunc("day", "ts"))
-    frame = series.heartbeat_agg(e, ["start"], "ts", "start", "1 day", "20 minutes")
+    frame = series.heartbeat_agg(e, ["start"], "ts", "start", "1 day", "20 minutes", slice=slice)
     a = {r.start: r.summary for r in frame.collect()}
     b = {r.start: r.summary for r in e.groupBy("start").agg(heartbeat.heartbeat_agg("ts", "start", "1 day", "20 minutes").alias("summary")).collect()}
     assert a == b
@@ -124,6 +124,13 @@ def test_fill_to(spark, events):
         assert [tuple(x)[:2] for x in a] == [tuple(x)[:2] for x in b] and np.allclose([x.value for x in a], [x.value for x in b])
 
 
+def test_slices_do_not_show(events):
+    key = lambda d: sorted((r.user_id, r.time, round(r.value, 9)) for r in d.collect())
+    for m in ("locf", "linear", "nearest"):
+        assert key(series.fill_to(events, ["user_id"], "ts", "value", "1 day", m)) == key(series.fill_to(events, ["user_id"], "ts", "value", "1 day", m, slice="2 days"))
+    assert key(series.delta(events, ["user_id"], "ts", "value")) == key(series.delta(events, ["user_id"], "ts", "value", slice="1 day"))
+
+
 def test_asof_of_vectors(spark):
     df = spark.createDataFrame([([(2, 1.0), (4, 2.0)], [(1, 5.0), (4, 6.0), (9, 7.0)])], "a array<struct<ts: long, val: double>>, b array<struct<ts: long, val: double>>")
     assert [tuple(r)[:2] for r in first(df.select(tv.asof("a", "b")))] == [(None, 5.0), (2.0, 6.0), (2.0, 7.0)]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tsmill.functions import heartbeat as hb
 from tsmill.functions import metrics, timeweight
+from tsmill.functions import state as st
 from tsmill.functions.base import ColumnLike, col, null, own_keys
 from tsmill.functions.times import interval_after, micros, micros_of, seconds_2000
 
@@ -35,6 +36,18 @@ def _points(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, sli
     return rows.withColumns({"pt": F.lag("t").over(w), "pv": F.lag("v").over(w), "nt": F.lead("t").over(w), "nv": F.lead("v").over(w)}), parts, w
 
 
+def _linked(rows: DataFrame, keys: list[str], parts: list[str]) -> DataFrame:
+    """rows of _points() in slices, with the neighbours that lie in other slices put in: a table with one row for each
+    group and slice tells them."""
+    if parts == list(keys):
+        return rows
+    edges = rows.groupBy(*parts).agg(F.min("t").alias("t1"), F.min_by("v", "t").alias("v1"), F.max("t").alias("t2"), F.max_by("v", "t").alias("v2"))
+    w = Window.partitionBy(*_partition(keys)).orderBy("slice")
+    around = edges.select(*(F.col(p).alias(f"_{p}") for p in parts), F.lag("t2").over(w).alias("lt"), F.lag("v2").over(w).alias("lv"), F.lead("t1").over(w).alias("ft"), F.lead("v1").over(w).alias("fv"))
+    joined = rows.join(around, [rows[p].eqNullSafe(around[f"_{p}"]) for p in parts])
+    return joined.withColumns({"pt": F.coalesce("pt", "lt"), "pv": F.coalesce("pv", "lv"), "nt": F.coalesce("nt", "ft"), "nv": F.coalesce("nv", "fv")})
+
+
 def _only(test: Column, x: str | Column) -> Column:
     return F.max(F.when(test, F.col(x) if isinstance(x, str) else x))
 
@@ -106,8 +119,12 @@ def state_timeline(df: DataFrame, keys: list[str], ts: ColumnLike, state: Column
 
 
 @own_keys
-def state_agg(df: DataFrame, keys: list[str], ts: ColumnLike, state: ColumnLike, name: str = "summary") -> DataFrame:
-    """One state summary for each group: its runs, which are far fewer than its records, are collected."""
+def state_agg(df: DataFrame, keys: list[str], ts: ColumnLike, state: ColumnLike, slice=None, name: str = "summary") -> DataFrame:
+    """One state summary for each group: its runs, which are far fewer than its records, are collected. slice: an
+    interval by which long series are cut, each part being summarised apart."""
+    if slice is not None:
+        cut = df.withColumn("__slice", F.floor(micros(ts) / micros_of(slice)))
+        return _by(state_agg(cut, [*keys, "__slice"], ts, state, name="__part"), keys).agg(st.rollup("__part").alias(name))
     runs = state_timeline(df, keys, ts, state)
     listed = _by(runs, keys).agg(F.array_sort(F.collect_list(F.struct("start_us", "end_us", "state"))).alias("r"), F.max("end_us").alias("last_ts"), F.min("start_us").alias("first_ts"))
     timeline = F.transform("r", lambda x: F.struct(x["state"].alias("state"), x["start_us"].alias("start"), x["end_us"].alias("end")))
@@ -138,7 +155,12 @@ def heartbeat_ranges(df: DataFrame, keys: list[str], heartbeat: ColumnLike, agg_
 
 
 @own_keys
-def heartbeat_agg(df: DataFrame, keys: list[str], heartbeat: ColumnLike, agg_start: ColumnLike, agg_duration, liveness, name: str = "summary") -> DataFrame:
+def heartbeat_agg(df: DataFrame, keys: list[str], heartbeat: ColumnLike, agg_start: ColumnLike, agg_duration, liveness, slice=None, name: str = "summary") -> DataFrame:
+    """One heartbeat summary for each group; slice: an interval by which the heartbeats of busy groups are cut."""
+    if slice is not None:
+        cut = df.withColumn("__slice", F.floor(micros(heartbeat) / micros_of(slice)))
+        parts = heartbeat_agg(cut, [*keys, "__slice"], heartbeat, agg_start, agg_duration, liveness, name="__part")
+        return _by(parts, keys).agg(hb.rollup("__part").alias(name))
     ranges = heartbeat_ranges(df, keys, heartbeat, agg_start, agg_duration, liveness)
     listed = _by(ranges, keys).agg(F.min("span_start").alias("a"), F.max("span_end").alias("b"), F.max("last_seen").alias("seen"), F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("r"))
     s = F.struct(F.col("a").alias("start"), F.col("b").alias("end"), F.col("seen").alias("last_seen"), F.lit(micros_of(liveness)).cast("long").alias("liveness"), F.col("r").alias("ranges"))
@@ -147,13 +169,15 @@ def heartbeat_agg(df: DataFrame, keys: list[str], heartbeat: ColumnLike, agg_sta
 
 # ---------------------------------------------------------------- filling and rolling
 @own_keys
-def fill_to(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, interval, method: str) -> DataFrame:
-    """Rows (keys, time, value) with points put every interval into longer gaps: locf, linear or nearest."""
+def fill_to(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, interval, method: str, slice=None) -> DataFrame:
+    """Rows (keys, time, value) with points put every interval into longer gaps: locf, linear or nearest. slice: an
+    interval by which long series are cut and spread over tasks."""
     us = micros_of(interval)
     m = method.strip().lower()
     if m not in ("locf", "linear", "interpolate", "nearest"):
         raise ValueError(f"unknown method {method!r}")
-    rows, _, _ = _points(df, keys, ts, val, None)
+    rows, parts, _ = _points(df, keys, ts, val, slice)
+    rows = _linked(rows, keys, parts)
     gap = F.col("nt") - F.col("t")
     steps = F.when(gap > us, F.floor((gap - 1) / us)).otherwise(0)
     rows = rows.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce(steps, F.lit(0)).cast("long")), lambda k: F.col("t") + k * us)))
@@ -168,9 +192,10 @@ def fill_to(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, int
 
 
 @own_keys
-def delta(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike) -> DataFrame:
+def delta(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, slice=None) -> DataFrame:
     """Rows (keys, time, value): differences of neighbours."""
-    rows, _, _ = _points(df, keys, ts, val, None)
+    rows, parts, _ = _points(df, keys, ts, val, slice)
+    rows = _linked(rows, keys, parts)
     return rows.where("pt is not null").select(*keys, F.timestamp_micros("t").alias("time"), (F.col("v") - F.col("pv")).alias("value"))
 
 
