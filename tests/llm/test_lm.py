@@ -73,13 +73,13 @@ def test_both_ways_against_brute_force(spark):
 
 def test_filter_never_forgets_and_seldom_invents():
     r = np.random.default_rng(1)
-    h = np.unique(r.integers(0, 1 << 63, 60_000).astype(np.uint64) << np.uint64(1))
+    h = np.unique(r.integers(0, 1 << L.KEY_BITS, 60_000).astype(np.uint64))
     c = r.integers(1, 400, len(h))
     seg = L._segment(h, 3)
     f = L.LogFrequencyFilter([L.make_segment(h[seg == s], c[seg == s]).tobytes() for s in range(3)])
     q = f.level(h)
     assert (q >= L.level(c)).all() and (q == L.level(c)).mean() > 0.98
-    other = r.integers(0, 1 << 63, 60_000).astype(np.uint64)
+    other = r.integers(0, 1 << L.KEY_BITS, 60_000).astype(np.uint64)
     assert (f.level(other) > 0).mean() < 0.03
     assert L.low(L.level(np.array([0, 1, 2, 3, 4, 7, 8]))).tolist() == [0, 1, 2, 2, 4, 4, 8]
 
@@ -88,7 +88,9 @@ def test_pairs_of_large_counts():
     h = np.arange(5, dtype=np.uint64)
     n = np.array([1, 254, 255, 256, 70_000], np.uint32)
     packed = np.where(n < 255, n, 255).astype(np.uint8).tobytes() + n[n >= 255].tobytes()
-    assert L._unpack(h.tobytes(), packed)[1].tolist() == n.tolist()
+    assert L._unpack(L.pack(h), packed)[1].tolist() == n.tolist()
+    for keys in ([], [0], [0, 1, 1 << 40, (1 << 48) - 1], sorted(random.Random(1).sample(range(1 << 48), 500))):
+        assert L.unpack(L.pack(np.array(keys, np.uint64))).tolist() == keys
 
 
 def test_many_segments_and_groups(spark, monkeypatch):

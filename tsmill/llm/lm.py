@@ -27,6 +27,8 @@ HOT = 2_000_000
 MOST_MB = 400
 #: Bits of the filter for each level held, and how many of them a level sets, all in one 64-bit word.
 BITS, SET = 16, 4
+#: Bits of a key of the filter: sorted keys of a task then lie so close that their distances take half as much room.
+KEY_BITS = 48
 #: Tokens that a task counts, and scores, together; segments of the filter: one for each PART training tokens.
 TOGETHER, SCORED, PART = 3_000_000, 400_000, 2_000_000
 END_TOKEN, START_TOKEN = b"\n", b" "  # no word holds white space
@@ -51,9 +53,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def pairs_of(h: np.ndarray) -> np.ndarray:
-    """Hash of each token with the one before it; the first follows a start mark."""
+    """Key of each token with the one before it; the first follows a start mark."""
     before = np.concatenate([_hash([START_TOKEN]), h[:-1]])
-    return mix(before * np.uint64(3) + mix(h))
+    return mix(before * np.uint64(3) + mix(h)) >> np.uint64(64 - KEY_BITS)
 
 
 # ---------------------------------------------------------------- counts
@@ -93,7 +95,7 @@ def _pair_blobs(segments: int):
             h, n = _counted(np.concatenate(parts))
             bounds = np.searchsorted(_segment(h, segments), np.arange(segments + 1))
             at = [s for s in range(segments) if bounds[s] < bounds[s + 1]]
-            rows = [(h[bounds[s] : bounds[s + 1]].tobytes(), n[bounds[s] : bounds[s + 1]].astype(np.uint32)) for s in at]
+            rows = [(pack(h[bounds[s] : bounds[s + 1]]), n[bounds[s] : bounds[s + 1]].astype(np.uint32)) for s in at]
             small = [np.where(n < 255, n, 255).astype(np.uint8).tobytes() + n[n >= 255].tobytes() for _, n in rows]
             for k in range(0, len(at), 64):
                 yield pa.record_batch(
@@ -115,12 +117,29 @@ def _pair_blobs(segments: int):
     return run
 
 
-def _segment(h: np.ndarray, segments: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
+    return ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+
+
+_FAR = np.uint64(0xFFFFFFFF)
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as 32-bit distances; longer ones are marked and follow in full."""
+    d = np.diff(keys, prepend=np.uint64(0))
+    far = d >= _FAR
+    return np.uint32(len(keys)).tobytes() + np.where(far, _FAR, d).astype(np.uint32).tobytes() + d[far].tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    n = int(np.frombuffer(packed, np.uint32, 1)[0])
+    d = np.frombuffer(packed, np.uint32, n, 4).astype(np.uint64)
+    d[d == _FAR] = np.frombuffer(packed[4 + 4 * n :], np.uint64)
+    return np.cumsum(d, dtype=np.uint64)
 
 
 def _unpack(h: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
-    h = np.frombuffer(h, np.uint64)
+    h = unpack(h)
     c = np.frombuffer(n[: len(h)], np.uint8).astype(np.int64)
     c[c == 255] = np.frombuffer(n[len(h) :], np.uint32)
     return h, c
@@ -155,7 +174,7 @@ def high(q: np.ndarray) -> np.ndarray:
 
 
 def _place(h: np.ndarray, k: int, words: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    x = mix(h + np.uint64(k * int(_MIX) & 0xFFFFFFFFFFFFFFFF))
+    x = mix(mix(h) + np.uint64(k * int(_MIX) & 0xFFFFFFFFFFFFFFFF))
     word = (x >> np.uint64(32)) * np.asarray(words, np.uint64) >> np.uint64(32)
     mask = np.zeros(len(h), np.uint64)
     for i in range(SET):
@@ -235,7 +254,7 @@ class Counts:
                 for s in np.flatnonzero(np.diff(bounds)).tolist():
                     c = n[bounds[s] : bounds[s + 1]].astype(np.uint32)
                     packed = np.where(c < 255, c, 255).astype(np.uint8).tobytes() + c[c >= 255].tobytes()
-                    yield pa.record_batch([pa.array([s], pa.int32()), pa.array([h[bounds[s] : bounds[s + 1]].tobytes()], pa.binary()), pa.array([packed], pa.binary())], names=["segment", "h", "n"])
+                    yield pa.record_batch([pa.array([s], pa.int32()), pa.array([pack(h[bounds[s] : bounds[s + 1]])], pa.binary()), pa.array([packed], pa.binary())], names=["segment", "h", "n"])
 
         return run
 
@@ -248,7 +267,8 @@ class Counts:
 
 
 def word_key(h: np.ndarray) -> np.ndarray:
-    return mix(h + np.uint64(1))
+    """Key of a word in the filter, apart from its pairs."""
+    return mix(h + np.uint64(1)) >> np.uint64(64 - KEY_BITS)
 
 
 # ---------------------------------------------------------------- scores
@@ -376,13 +396,13 @@ def _score_in_segments(narrow: DataFrame, rows: DataFrame, counts: Counts, alpha
         found, _, h = read(table)
         keys, cuts = _probes(h, np.concatenate([pairs_of(x) for x in found]), segments)
         at = np.flatnonzero(np.diff(cuts)).tolist()
-        parts = [keys[cuts[s] : cuts[s + 1]].tobytes() for s in at]
+        parts = [pack(keys[cuts[s] : cuts[s + 1]]) for s in at]
         return pa.table({"segment": pa.array(at, pa.int32()), "f": pa.array([key[0].as_py()] * len(at), pa.int32()), "h": pa.array(parts, pa.binary())})
 
     def answer(key, left, right):
         words = left.column("words").to_pylist()[0] if left.num_rows else bytes(8)
         one = LogFrequencyFilter([words])
-        levels = [one.level(np.frombuffer(h, np.uint64), sorted_=True).astype(np.uint8).tobytes() for h in right.column("h").to_pylist()]
+        levels = [one.level(unpack(h), sorted_=True).astype(np.uint8).tobytes() for h in right.column("h").to_pylist()]
         return pa.table({"f": right.column("f"), "segment": right.column("segment"), "q": pa.array(levels, pa.binary())})
 
     def finish(key, left, right):
