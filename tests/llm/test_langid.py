@@ -2,7 +2,6 @@ import itertools
 import math
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from tsmill.llm import langid as L
