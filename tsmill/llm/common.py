@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -64,6 +65,8 @@ def drop_cut(df: DataFrame) -> None:
 
 @atexit.register
 def _clean() -> None:
+    for folder in _local.values():  # of a local session, whose JVM may have ended already
+        shutil.rmtree(folder, ignore_errors=True)
     for path, spark in list(_folders.items()):
         try:
             delete(spark, path)
