@@ -201,8 +201,8 @@ def test_top_n(events):
 
 
 def test_generated_series_and_literals(spark):
-    a = tables.periodic_normal_series(spark, "2020-01-01", "2 days", "1 hour", seed=7)
-    assert a.count() == 48 and a.orderBy("time").collect() == tables.periodic_normal_series(spark, "2020-01-01", "2 days", "1 hour", seed=7).repartition(5).orderBy("time").collect()
+    a = tables.generate_periodic_normal_series(spark, "2020-01-01", "2 days", "1 hour", seed=7)
+    assert a.count() == 48 and a.orderBy("time").collect() == tables.generate_periodic_normal_series(spark, "2020-01-01", "2 days", "1 hour", seed=7).repartition(5).orderBy("time").collect()
     s = a.agg(metrics.counter_agg("time", "value").alias("s"))
     back = s.select(tables.from_literal(tables.to_literal("s"), s.schema["s"].dataType).alias("s"))
     assert first(back) == first(s)

@@ -78,6 +78,11 @@ def test_rolling_and_plain_functions(run):
     assert run("SELECT f64_lambda('$value ^ 2', ts, value) AS x FROM ev WHERE event_id = 1") == run("SELECT value * value FROM ev WHERE event_id = 1")
 
 
+def test_generated_series(run):
+    got = run("SELECT num_vals(stats_agg(value)) AS n, average(stats_agg(value)) > 900 AS near FROM generate_periodic_normal_series('2020-01-01', 7)")
+    assert got == [(28 * 144, True)] and run("SELECT saturating_mul(100000, 100000) AS x") == [(2147483647,)]
+
+
 def test_summaries_keep_their_kind_in_files(spark, run, tmp_path):
     frame = sql(spark, "SELECT user_id, state_agg(ts, event_type) AS s, candlestick_agg(ts, value, 1.0) AS c FROM ev GROUP BY user_id")
     frame.write.parquet(str(tmp_path / "kept"))

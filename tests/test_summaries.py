@@ -216,6 +216,6 @@ def test_times(spark):
     assert math.isclose(get(times.month_normalize(F.lit(1000.0), F.lit(T("2021-01-01")))), 1000 * (365.25 / 12) / 31)
     assert get(times.to_epoch(F.lit(T("2021-01-01")))) == 1609459200.0
     big = (1 << 31) - 1
-    assert [get(f(F.lit(a), F.lit(b))) for f, a, b in ((times.saturating_add, big, 5), (times.saturating_sub, -big, 5), (times.saturating_add_pos, 3, -5), (times.saturating_sub_pos, 3, 5), (times.saturating_multiply, big, -2))] == [big, -big - 1, 0, 0, -big - 1]
+    assert [get(f(F.lit(a), F.lit(b))) for f, a, b in ((times.saturating_add, big, 5), (times.saturating_sub, -big, 5), (times.saturating_add_pos, 3, -5), (times.saturating_sub_pos, 3, 5), (times.saturating_mul, big, -2))] == [big, -big - 1, 0, 0, -big - 1]
     assert get(times.as_interval(F.lit(93_784_500_000))) == dt.timedelta(days=1, hours=2, minutes=3, seconds=4.5)
     assert times.split_interval("1 year 2 months 3 days 04:05:06.5") == (14, ((3 * 24 + 4) * 3600 + 5 * 60 + 6) * 1_000_000 + 500_000)

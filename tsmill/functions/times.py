@@ -190,5 +190,5 @@ def saturating_sub_pos(x, y) -> Column:
     return _clamp(_long(x) - _long(y), 0)
 
 
-def saturating_multiply(x, y) -> Column:
+def saturating_mul(x, y) -> Column:
     return _clamp(_long(x) * _long(y))

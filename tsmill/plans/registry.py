@@ -745,7 +745,7 @@ def calendar(spark, sf_dir):
 def saturating_math(spark, sf_dir):
     e = _events(spark, sf_dir).where("event_id < 4000").select("event_id", (F.col("event_id") * 900000 - 2000000000).cast("int").alias("a"), ((F.col("event_id") % 7 - 3) * 700000000).cast("int").alias("b"))
     t = times
-    return e.select("event_id", *named(plus=t.saturating_add("a", "b"), minus=t.saturating_sub("a", "b"), plus_pos=t.saturating_add_pos("a", "b"), minus_pos=t.saturating_sub_pos("a", "b"), times=t.saturating_multiply("a", "b")))
+    return e.select("event_id", *named(plus=t.saturating_add("a", "b"), minus=t.saturating_sub("a", "b"), plus_pos=t.saturating_add_pos("a", "b"), minus_pos=t.saturating_sub_pos("a", "b"), times=t.saturating_mul("a", "b")))
 
 
 @query(f"SELECT event_id, {DAYS} AS lo, {DAYS} + {DAY} AS hi, epoch_us(date_trunc('month', ts)) AS month_lo, epoch_us(date_trunc('month', ts) + INTERVAL 1 MONTH) AS month_hi FROM (SELECT *, epoch_us(ts) AS t FROM events)")
@@ -799,4 +799,4 @@ def sources_folder(spark: SparkSession) -> str:
 
 @query()
 def generated_series(spark, sf_dir):
-    return tables.periodic_normal_series(spark, "2024-01-01", seed=42)
+    return tables.generate_periodic_normal_series(spark, "2024-01-01", seed=42)

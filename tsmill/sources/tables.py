@@ -44,7 +44,7 @@ def _uniform(seed: int, stream: int) -> Column:
     return (h.cast("double") + 0.5) / float(1 << 53)
 
 
-def periodic_normal_series(
+def generate_periodic_normal_series(
     spark: SparkSession, start, length="28 days", interval="10 minutes", base: float = 1000.0, period="1 day", magnitude: float = 100.0, stddev: float = 100.0, seed: int = 0
 ) -> DataFrame:
     """Rows (time, value): a sine around base with normal noise; a row's value depends on its number and the seed alone,
