@@ -293,6 +293,7 @@ def score(docs: DataFrame, train: DataFrame, keep: tuple[str, ...] = ("doc_id",)
             words[r["segment"]] = bytes(r["words"])
         model = LogFrequencyFilter(words)
         del words
+        drop_cut(rows)
     shared = spark.sparkContext.broadcast((model, hot_h, hot_c))
     del model
 
