@@ -21,7 +21,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 RUN, LEAST_WORDS, LOCAL = 3, 15, 8
 #: Runs that a task looks at together before it sends them on.
-TOGETHER = 1_000_000
+TOGETHER = 400_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
