@@ -30,7 +30,7 @@ BITS, SET = 16, 4
 #: Bits of a key of the filter: sorted keys of a task then lie so close that their distances take half as much room.
 KEY_BITS = 48
 #: Tokens that a task counts, and scores, together; segments of the filter: one for each PART training tokens.
-TOGETHER, SCORED, PART = 3_000_000, 400_000, 2_000_000
+TOGETHER, SCORED, PART = 1_500_000, 300_000, 700_000
 END_TOKEN, START_TOKEN = b"\n", b" "  # no word holds white space
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
