@@ -69,6 +69,12 @@ def _counted(h: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np
     return h[head], np.add.reduceat(n, head) if len(h) else n
 
 
+def _texts(column: pa.Array) -> Iterator[bytes | None]:
+    """Values of a column, not all of them turned into Python objects at once."""
+    for s in range(0, len(column), 500):
+        yield from column.slice(s, 500).to_pylist()
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush(parts):
         h, n = _counted(np.concatenate(parts))
@@ -77,7 +83,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     parts, held = [], 0
     for b in batches:
-        for t in b.column(0).to_pylist():
+        for t in _texts(b.column(0)):
             parts.append(tokens_of(t))
             held += len(parts[-1])
             if held >= TOGETHER:
@@ -105,7 +111,7 @@ def _pair_blobs(segments: int):
 
         parts, held = [], 0
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for t in _texts(b.column(0)):
                 parts.append(pairs_of(tokens_of(t)))
                 held += len(parts[-1])
                 if held >= TOGETHER:
@@ -334,7 +340,7 @@ def score(docs: DataFrame, train: DataFrame, keep: tuple[str, ...] = ("doc_id",)
 
         for b in batches:
             found, lo, held = [], 0, 0
-            for i, t in enumerate(b.column(wide + 1).to_pylist()):
+            for i, t in enumerate(_texts(b.column(wide + 1))):
                 found.append(tokens_of(t))
                 held += len(found[-1])
                 if held >= SCORED:
