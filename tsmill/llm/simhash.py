@@ -34,26 +34,30 @@ COMPARE = 2048
 
 
 # ---------------------------------------------------------------- fingerprints
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """Majority SimHash over XXH64 (seed 42) of the word shingles of lower-cased text; no word: 0."""
+def shingle_hashes(words: list[bytes], width: int) -> list[int]:
+    """XXH64 (seed 42) of each shingle of `width` words; all words together if they are fewer."""
     import xxhash
 
+    n = len(words)
+    joined = b" ".join(words)
+    if n <= width:
+        return [xxhash.xxh64_intdigest(joined, 42)]
+    sizes = np.fromiter(map(len, words), np.int64, n) + 1
+    ends = np.cumsum(sizes)
+    starts = (ends - sizes)[: n - width + 1].tolist()
+    stops = (ends - 1)[width - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[s:e], 42) for s, e in zip(starts, stops)]
+
+
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """Majority SimHash over XXH64 (seed 42) of the word shingles of lower-cased text; no word: 0."""
     if text is None:
         return 0
     words = text.lower().split()  # bytes: A-Z only, and ASCII white space only
     if not words:
         return 0
-    n = len(words)
-    joined = b" ".join(words)
-    if n <= width:
-        h = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, n) + 1
-        ends = np.cumsum(sizes)
-        starts = (ends - sizes)[: n - width + 1].tolist()
-        stops = (ends - 1)[width - 1 :].tolist()
-        digest = xxhash.xxh64_intdigest
-        h = [digest(joined[s:e], 42) for s, e in zip(starts, stops)]
+    h = shingle_hashes(words, width)
     bits = np.zeros(64, np.int64)
     a = np.array(h, np.uint64)
     for k in range(0, len(a), 65536):
