@@ -68,3 +68,16 @@ def test_nothing_to_mix(spark):
     assert M.mix(empty).collect() == []
     blank = spark.createDataFrame([(1, "", "a"), (2, None, "b")], "doc_id long, text string, source string")
     assert {(r.doc_id, r.taken, r.target) for r in M.mix(blank).collect()} == {(1, 0, 0.0), (2, 0, 0.0)}
+
+
+def test_every_source_meets_its_target(spark):
+    # large sources beside small ones, and many sources of one short document: none falls short by more than rounding
+    large = [(i, "w " * 40_000, f"big{i % 4}") for i in range(40)]
+    small = [(1000 + i, "w " * (7 + i), f"small{i}") for i in range(30)]
+    many = [(5000 + i, "a b c d e f g h", f"m{i}") for i in range(3000)]
+    for rows in (large + small, many):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = M.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("size")).collect()
+        assert all(abs(g["taken"] - g["target"]) <= 0.5 for g in got)
+        _, target = plain_targets(rows)
+        assert all(abs(g["target"] - target[g["source"]]) < 1e-6 for g in got)

@@ -1,10 +1,10 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
-Slots 0, 1, 2, ... carry the golden-ratio points frac((i + 1) / phi). A point falls into one source's interval of the
-cumulative weights, so any stretch of the schedule holds every source in its proportion. Each source's documents are
-shuffled by hash and laid end to end; blocks of equally many words are cut from that line, and the r-th slot of a
-source takes its block r mod n_blocks, so a source is repeated only after it has been used up. Everything is built
-from DataFrame functions.
+Each source's documents are shuffled by hash and laid end to end, and words are drawn along that line, so a source is
+repeated only after it has been used up. A source of q words to draw has its draw r at (r + 1/2) / q of the schedule:
+any stretch of the schedule holds every source in its proportion to within a word. Where the schedule ends, each source
+has had its target, rounded to whole words, whatever its size; that is what the mix takes, so the order need not be
+laid out. Everything is built from DataFrame functions.
 """
 
 from __future__ import annotations
@@ -14,14 +14,9 @@ from pyspark.sql import functions as F
 
 from tsmill.llm.common import WORD, cut
 
-#: 1 / phi, and frac(2^20 / phi): a slot number is split at 2^20 so that products stay exact enough in doubles.
-STEP = 0.6180339887498949
-STEP_HIGH = (STEP * (1 << 20)) % 1.0
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Words in a block: the words of all documents over SLOTS, this at most.
+#: Tolerances are stated in blocks: the words of all documents over SLOTS, MAX_BLOCK at most. Draws are of single words.
 MAX_BLOCK, SLOTS = 4096, 65536
-CHUNK = 65536
-CELLS = 4096
 
 
 def _small(df: DataFrame, rows: int, most: int = 10_000) -> DataFrame:
@@ -58,38 +53,6 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float =
     return met.withColumn("target", F.least("most", F.col("weight") * level)).select("sid", "source", "source_size", "weight", "target")
 
 
-def schedule(spark, by_source: DataFrame, words: float, block: int) -> DataFrame:
-    """sid, block, epochs: how often each block of each source is taken."""
-    slots = max(0, -int(-words // block))
-    i = F.col("id") + 1
-    u = (i % (1 << 20)) * F.lit(STEP) + F.floor(i / (1 << 20)) * F.lit(STEP_HIGH)
-    points = spark.range(slots).select("id", (u - F.floor(u)).alias("u"))
-    points = points.withColumn("cell", F.least(F.floor(F.col("u") * CELLS), F.lit(CELLS - 1)))
-    upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = by_source.withColumn("hi", F.sum("target").over(upto)).withColumn("lo", F.lag("hi", 1, 0.0).over(Window.orderBy("sid")))
-    total = F.max("hi").over(Window.partitionBy())
-    spans = spans.where("target > 0").select(
-        "sid",
-        F.ceil(F.col("source_size") / block).alias("n_blocks"),
-        (F.col("lo") / total).alias("lo"),
-        F.when(F.col("hi") >= total, 2.0).otherwise(F.col("hi") / total).alias("hi"),
-    )
-    cells = spans.select("*", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
-    # the intervals touch at most CELLS + number of sources cells; points are even over the cells
-    placed = points.join(cells, "cell").where("u >= lo and u < hi").select("sid", "id", "n_blocks", F.floor(F.col("id") / CHUNK).alias("chunk"))
-    within = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("id")) - 1
-    per_chunk = placed.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    per_chunk = per_chunk.select("sid", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    ranked = placed.withColumn("r", within).join(per_chunk, ["sid", "chunk"]).withColumn("r", F.col("r") + F.col("base"))
-    return (
-        ranked.select("sid", (F.col("r") % F.col("n_blocks")).alias("block"), F.floor(F.col("r") / F.col("n_blocks")).alias("epoch"))
-        .where("epoch < 2")
-        .groupBy("sid", "block")
-        .agg(F.count("*").alias("epochs"))
-    )
-
-
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """doc_id, source, h, size, source_size, target, taken: words the mix takes of each row of docs.
 
@@ -99,13 +62,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0)
     """
     if not 0 < cap <= 2:
         raise ValueError("cap must lie in (0, 2]")
-    spark = docs.sparkSession
     sized = cut(sizes(docs), "sizes")
     by_source = cut(targets(sized, weights, share, cap), "sources")
-    rows, words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    rows = sized.count()
     n_sources = by_source.count()
-    block = min(MAX_BLOCK, max(1, -(-words // SLOTS)))
-    taken = schedule(spark, by_source, words * share, block)
 
     buckets = rows // 1024 + 1
     keyed = sized.join(_small(by_source, n_sources), sized["source"].eqNullSafe(by_source["source"])).select(
@@ -118,16 +78,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0)
     run = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = full.withColumn("start", F.coalesce(F.sum("size").over(run), F.lit(0))).join(sums, ["sid", "bucket"])
     placed = placed.withColumn("start", F.col("start") + F.col("base"))
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    pieces = placed.withColumn("block", F.explode(F.sequence(first, last)))
-    held = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
+    # the line is laid floor(quota / source_size) times in full, then up to the rest
+    quota = F.least(F.round("target").cast("long"), 2 * F.col("source_size"))
+    passes = F.floor(quota / F.col("source_size"))
+    rest = quota - passes * F.col("source_size") - F.col("start")
+    taken = passes * F.col("size") + F.greatest(F.lit(0), F.least("size", rest))
     columns = ["doc_id", "source", "h", "size", "source_size", "target"]
-    got = (
-        pieces.join(taken, ["sid", "block"], "left")
-        .groupBy("sid", "start", *columns)
-        .agg(F.sum(held * F.coalesce("epochs", F.lit(0))).alias("taken"))
-        .select(*columns, "taken")
-    )
+    got = placed.select(*columns, taken.cast("long").alias("taken"))
     return got.unionByName(keyed.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))
 
 
