@@ -58,3 +58,12 @@ def test_odd_rows(spark):
     assert L.identify(df.limit(0)).collect() == []
     unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in L.identify(unlabelled).collect()} == {"und"}
+
+
+def test_texts_with_letters_stay(spark):
+    rows = [(10 * k + i, f"{a} {b} word{i}", a) for k, (a, b) in enumerate([("aa", "bb"), ("cc", "dd"), ("ee", "ff"), ("gg", "hh"), ("ii", "jj")]) for i in range(10)]
+    rows += [(900, "\u16a0\u16a2", None), (901, "12 !", None), (902, None, None)]  # runes: every language is as likely
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for docs in (df, df.withColumn("lang", F.lit(None).cast("string"))):
+        kept = {r.doc_id for r in L.keep_identified(docs).collect()}
+        assert kept == {r[0] for r in rows if r[0] < 901}

@@ -272,11 +272,13 @@ def identify(docs: DataFrame, per_language: int = TRAIN_DOCS) -> DataFrame:
     return predict(docs.select("doc_id", held.alias("held_out"), "text"), langs, theta, keep=("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """docs without rows that are undetermined or whose best language has a probability below least."""
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """docs without rows whose text is null or holds no letter; if no language was learned, all that hold one stay."""
     held = remainder(5) == 0
     langs, theta = learn(docs.where(~held))
+    if not langs:  # nothing tells languages apart: only the letters count
+        langs, theta = ["any"], np.full((len(vocabulary()), 1), 1.0 / len(vocabulary()))
     # columns are numbered meanwhile, as docs may have a lang_pred or score of its own
     own = {c: f"c{k}" for k, c in enumerate(docs.columns)}
     named = predict(docs.toDF(*own.values()), langs, theta, keep=tuple(own.values()), text=own["text"])
-    return named.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*(F.col(k).alias(c) for c, k in own.items()))
+    return named.where(F.col("lang_pred") != UNDETERMINED).select(*(F.col(k).alias(c) for c, k in own.items()))
