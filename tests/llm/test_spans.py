@@ -90,3 +90,45 @@ def test_odd_rows(spark):
     assert S.remove_repeated(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     docs = spark.createDataFrame([(1, long, 3), (2, long, 3), (3, "", 0)], "doc_id long, text string, n_chars long")
     assert {(x.doc_id, x.n_chars) for x in S.rid_of_repeats(docs).collect()} == {(1, 3), (3, 0)}
+
+
+def staying(words, text):
+    """Which of the passage's words, all distinct, text still holds."""
+    held = set(text.split())
+    return [w in held for w in words]
+
+
+def test_every_passage_of_51_words_is_found(spark):
+    """Passages without stops, amid other words, one half with equal endings; what stays lies at the rims."""
+    r = random.Random(4)
+    said = iter(range(10**9))
+    word = lambda end: f"{r.choice('abcdefghij')}{next(said)}{end}"
+    rows, passages = [], []
+    for g in range(400):
+        end = ["$$$", "", "qq", "###"][g % 4]
+        p = [word(end) for _ in range(51)]
+        passages.append(p)
+        for k in range(2):
+            parts = [word(end) for _ in range(r.randrange(40))], p, [word(end) for _ in range(r.randrange(40))]
+            rows.append((2 * g + k, " ".join(sum(parts, []))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for rule in ("gaps", "both"):
+        got = {x.doc_id: x.text for x in S.remove_repeated(df, rule=rule).collect()}
+        for g, p in enumerate(passages):
+            assert all(staying(p, got[2 * g]))
+            left = staying(p, got[2 * g + 1])
+            start, end = S.GAP_RIMS if rule == "gaps" else (S.GAP_RIMS[0] + S.PIECE - 1, S.GAP_RIMS[1] + S.PIECE - 1)
+            assert not all(left)
+            gone = [i for i, x in enumerate(left) if not x]
+            assert gone[0] <= start and 50 - gone[-1] <= end
+            if rule == "gaps":
+                assert gone == list(range(gone[0], gone[-1] + 1))
+
+
+def test_text_without_spaces(spark):
+    r = random.Random(5)
+    say = lambda n: "".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    p = say(60)
+    df = spark.createDataFrame([(1, say(33) + p + say(20)), (2, say(21) + p + say(50))], "doc_id long, text string")
+    got = {x.doc_id: x.text for x in S.remove_repeated(df, rule="gaps").collect()}
+    assert p in got[1] and p[15:40] not in got[2] and len(got[2]) <= 71 + sum(S.GAP_RIMS)

@@ -48,7 +48,7 @@ def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tsmill.llm.spans import remove_repeated
 
-    return remove_repeated(_docs(spark, sf_dir).select("doc_id", "text"))
+    return remove_repeated(_docs(spark, sf_dir).select("doc_id", "text"), rule="gaps")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,15 @@ documents, and the sentences that a repeated run covers are removed everywhere b
 A sentence ends after a word that ends in . ! or ?, at a line end, and, as passages are often set into the middle of
 other sentences, after words whose last letters hash to 0 modulo LOCAL: such cuts depend on the word alone, so a passage
 is cut alike wherever it stands. A run starts at each sentence and holds the next ones until it has RUN sentences and
-LEAST_WORDS words.
+LEAST_WORDS words. This is the rule "stops".
+
+Such cuts can lie far apart. The rule "gaps" also cuts after the word of least hash in each GAP consecutive words, so
+every GAP words hold a cut that depends on these words alone, and its runs hold GAP_RUN sentences and LEAST_WORDS words. A
+passage of 51 words is then found at any place: GAP_RIMS words at most stay at its start and at its end. In
+scripts written without spaces (Han, kana, Thai, Lao, Khmer, Myanmar) each character is a word; any other stretch
+without white space is one word, however long.
+
+The rule "both" removes what "stops" removes, and of what "gaps" would remove beyond that each stretch of PIECE words or more.
 """
 
 from __future__ import annotations
@@ -20,6 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 RUN, LEAST_WORDS, LOCAL = 3, 15, 8
+GAP, GAP_RUN = 6, 2
+#: Words of a passage of 51 words or more that "gaps" may leave at its start and its end: a cut that both places share
+#: lies 2 * GAP - 1 words from a rim at most, and the last run may end GAP - 1 words before it.
+GAP_RIMS = (2 * GAP - 1, 3 * GAP - 2)
+PIECE = 25
+STOPS, GAPS = 0, 1
+RULES = {"stops": (STOPS,), "gaps": (GAPS,), "both": (STOPS, GAPS)}
+#: The bit of a place that tells the rule.
+KIND = 30
 #: Runs that a task looks at together before it sends them on.
 TOGETHER = 400_000
 
@@ -49,28 +66,94 @@ def sentences(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return bounds, np.diff(np.concatenate([[-1], at]))
 
 
-def run_ends(words: np.ndarray) -> np.ndarray:
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] += np.uint64(32)
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def _base_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n of an odd base and of its inverse, modulo 2^64."""
+    if not _powers or len(_powers[0]) <= n:
+        size = 1 << max(16, n.bit_length())
+        _powers[:] = [np.cumprod(np.array([1] + [x] * size, np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _powers[0], _powers[1]
+
+
+def _word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of every letter of each word, lower-cased."""
+    up, down = _base_powers(len(b))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER[b] + np.uint64(1)) * up[: len(b)], dtype=np.uint64)])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def _units(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words, characters of scripts without spaces being words; and where white space is."""
+    space = np.concatenate([[True], _SPACE[b], [True]])
+    start = space[:-1] & ~space[1:]
+    if len(b) and b.max() >= 0xE0:
+        second = np.append(b[1:], 0)
+        three = (b >= 0xE3) & (b <= 0xE9)
+        three |= (b == 0xE0) & (second >= 0xB8) & (second <= 0xBB)
+        three |= (b == 0xE1) & ((second >= 0x80) & (second <= 0x82) | (second == 0x9E) | (second == 0x9F))
+        four = (b == 0xF0) & (second >= 0xA0) & (second <= 0xB3)
+        for lead, size in ((three, 3), (four, 4)):
+            at = np.flatnonzero(lead)
+            start[at] = True
+            start[np.minimum(at + size, len(b))] = True
+        start &= ~space[1:]
+    starts = np.flatnonzero(start[:-1])
+    ends = np.flatnonzero(~space[:-1] & (space[1:] | start))
+    return starts, ends, space
+
+
+def gap_sentences(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """As sentences(), by the rule "gaps": every GAP words hold a cut that they alone decide."""
+    b = np.frombuffer(text, np.uint8)
+    starts, ends, _ = _units(b)
+    if not len(starts):
+        return np.array([0, len(b)]), np.zeros(1, np.int64)
+    closed = _STOP[b[ends - 1]]
+    lines = np.concatenate([[0], np.cumsum(b == 10)])
+    following = np.append(starts[1:], len(b))
+    closed |= lines[following] > lines[ends]
+    if len(starts) >= GAP:
+        windows = np.lib.stride_tricks.sliding_window_view(_word_hashes(b, starts, ends), GAP)
+        closed[np.arange(len(windows)) + GAP - 1 - windows[:, ::-1].argmin(axis=1)] = True  # of equal ones the last
+    closed[-1] = True
+    at = np.flatnonzero(closed)
+    return np.concatenate([[0], following[at]]), np.diff(np.concatenate([[-1], at]))
+
+
+CUTS = {STOPS: (sentences, RUN), GAPS: (gap_sentences, GAP_RUN)}
+
+
+def run_ends(words: np.ndarray, least: int = RUN) -> np.ndarray:
     """For each sentence that starts a run, the sentence after the run's last; sentences too near the end start none."""
     total = np.concatenate([[0], np.cumsum(words)])
-    end = np.maximum(np.searchsorted(total, total[:-1] + LEAST_WORDS), np.arange(len(words)) + RUN)
+    end = np.maximum(np.searchsorted(total, total[:-1] + LEAST_WORDS), np.arange(len(words)) + least)
     return end[end <= len(words)]
 
 
-def runs(text: bytes) -> np.ndarray:
+def runs(text: bytes, kind: int = STOPS) -> np.ndarray:
     """Hash of the run that starts at each sentence; case and white space do not count."""
     import xxhash
 
-    bounds, words = sentences(text)
-    ends = run_ends(words)
+    split, least = CUTS[kind]
+    bounds, words = split(text)
+    ends = run_ends(words, least)
     if not len(ends):
         return np.zeros(0, np.int64)
     digest, cut = xxhash.xxh64_digest, bounds.tolist()
     hashes = b"".join([digest(b" ".join(text[s:e].lower().split())) for s, e in zip(cut, cut[1:])])
     number = xxhash.xxh64_intdigest
-    return np.array([number(hashes[8 * i : 8 * e]) for i, e in enumerate(ends.tolist())], np.uint64).view(np.int64)
+    return np.array([number(hashes[8 * i : 8 * e], kind) for i, e in enumerate(ends.tolist())], np.uint64).view(np.int64)
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...] = (STOPS,)) -> Iterator[pa.RecordBatch]:
     """Rows (again, p, k, sub). Of places with one hash, those not the least here are repeats for certain: they are dealt
     out freely (again true), so that a hash sends one row for each task and TOGETHER runs, however often it occurs."""
 
@@ -91,10 +174,11 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts, held = [], 0
     for b in batches:
         for k, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            h = runs(text)
-            if len(h):
-                parts.append((h, np.full(len(h), k), np.int64(th) << 32 | np.arange(len(h))))
-                held += len(h)
+            for kind in kinds:
+                h = runs(text, kind)
+                if len(h):
+                    parts.append((h, np.full(len(h), k), np.int64(th) << 32 | kind << KIND | np.arange(len(h))))
+                    held += len(h)
         if held >= TOGETHER:
             yield from flush(parts)
             parts, held = [], 0
@@ -126,7 +210,31 @@ def _key(columns=("doc_id", "text")):
     return F.coalesce(doc, th).alias("__k"), F.shiftrightunsigned(th, 33).cast("int").alias("__th")
 
 
-def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", numbers: tuple[str, str] = ("n_sentences", "n_removed")) -> DataFrame:
+def _staying(words: np.ndarray, least: int, places: np.ndarray) -> np.ndarray:
+    """Which sentences no run that starts at one of places covers."""
+    drop = np.zeros(len(words) + 1, np.int64)
+    np.add.at(drop, places, 1)
+    np.add.at(drop, run_ends(words, least)[places], -1)
+    return np.cumsum(drop)[:-1] == 0
+
+
+def _take_pieces(raw: bytes, keep: np.ndarray, places: np.ndarray) -> None:
+    """Unset keep at the bytes of each stretch of PIECE words or more that runs of the rule "gaps" cover and keep holds."""
+    if not len(places):
+        return
+    bounds, words = gap_sentences(raw)
+    more = keep & ~np.repeat(_staying(words, GAP_RUN, places), np.diff(bounds))
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], more.view(np.int8), [0]])))
+    count = np.zeros(len(raw) + 1, np.int64)
+    starts, _, _ = _units(np.frombuffer(raw, np.uint8))
+    np.add.at(count, starts + 1, 1)
+    count = np.cumsum(count)
+    for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        if count[e] - count[s] >= PIECE:
+            keep[s:e] = False
+
+
+def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", numbers: tuple[str, str] = ("n_sentences", "n_removed"), rule: str = "stops") -> DataFrame:
     """docs with text rid of sentences covered by a repeated run that is not its first, plus two numbers.
 
     The first place is the smallest (doc_id, hash of the text, sentence). Rows that agree in doc_id and text are one
@@ -136,8 +244,9 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     docs = docs.select(*(c for c in docs.columns if c not in numbers))
     k, th = _key((doc_id, text))
+    kinds = RULES[rule]
     narrow = docs.where(F.col(text).isNotNull()).select(k, th, F.col(text).cast("binary").alias("b"))
-    rows = narrow.mapInArrow(_emit, "again boolean, p long, k long, sub long")
+    rows = narrow.mapInArrow(lambda batches: _emit(batches, kinds), "again boolean, p long, k long, sub long")
     found = rows.repartition("p").sortWithinPartitions("again", "p", "k", "sub").mapInArrow(_repeats, "k long, sub long")
     # rows repeating a document give its places twice; a document's list is as long as the document at most
     places = found.groupBy(F.col("k").alias("__k2"), F.shiftright("sub", 32).cast("int").alias("__th2")).agg(
@@ -152,18 +261,17 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             texts, total, gone = b.column(at).to_pylist(), [], []
             for i, places in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 raw = (texts[i] or "").encode()
-                bounds, words = sentences(raw)
+                places = np.array(places or [], np.int64)
+                bounds, words = CUTS[kinds[0]][0](raw)
                 n = len(words) if raw.strip() else 0
                 removed = 0
-                if places:
-                    drop = np.zeros(len(words) + 1, np.int64)
-                    ends = run_ends(words)
-                    np.add.at(drop, places, 1)
-                    np.add.at(drop, ends[places], -1)
-                    stay = np.cumsum(drop)[:-1] == 0
-                    removed = int((~stay).sum())
-                    cut = bounds.tolist()
-                    texts[i] = b"".join([raw[cut[j] : cut[j + 1]] for j in np.flatnonzero(stay).tolist()]).decode()
+                if len(places):
+                    stay = _staying(words, CUTS[kinds[0]][1], places[places >> KIND == kinds[0]] & ((1 << KIND) - 1))
+                    keep = np.repeat(stay, np.diff(bounds))
+                    if len(kinds) > 1:
+                        _take_pieces(raw, keep, places[places >> KIND == GAPS] & ((1 << KIND) - 1))
+                    removed = int((np.add.reduceat(~keep, bounds[:-1]) > 0).sum()) if len(keep) else 0
+                    texts[i] = np.frombuffer(raw, np.uint8)[keep].tobytes().decode()
                 total.append(n)
                 gone.append(removed)
             columns = [pa.array(texts, pa.string()) if j == at else c for j, c in enumerate(b.columns[:-1])]
@@ -178,7 +286,7 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def rid_of_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages removed and n_chars renewed; documents of which nothing is left go."""
     own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    out = remove_repeated(docs.toDF(*own.values()), own["doc_id"], own["text"], ("n", "gone"))
+    out = remove_repeated(docs.toDF(*own.values()), own["doc_id"], own["text"], ("n", "gone"), rule="both")
     out = out.where((F.col("gone") == 0) | (F.regexp_count(own["text"], F.lit(r"\S")) > 0))
     renewed = {c: F.col(k) for c, k in own.items()}
     if "n_chars" in own:
