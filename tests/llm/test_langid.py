@@ -67,3 +67,13 @@ def test_texts_with_letters_stay(spark):
     for docs in (df, df.withColumn("lang", F.lit(None).cast("string"))):
         kept = {r.doc_id for r in L.keep_identified(docs).collect()}
         assert kept == {r[0] for r in rows if r[0] < 901}
+
+
+def test_long_words_count_in_learning():
+    pieces = {p: i for i, p in enumerate(["▁", "a", "b", "ab", "▁a", "aba", "ba"])}
+    f = L.Forward(pieces, np.random.default_rng(2).random((len(pieces), 1)))
+    short, n = ["abab", "babz", "aabb"], np.array([2.0, 3.0, 0.5])
+    assert np.allclose(f.expected_long(["▁" + w for w in short], n)[: f.none], f.expected(short, n))
+    for length in (L.PLAIN + 1, 60, 3000):  # each letter of each word is covered once
+        e = f.expected(["ab" * (length // 2) + "a" * (length % 2), "b" * length], np.array([2.0, 3.0]))
+        assert math.isclose(sum(k * len(p) for p, k in zip(pieces, e)), 5 * (length + 1), rel_tol=1e-6)

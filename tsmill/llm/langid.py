@@ -115,9 +115,14 @@ class Forward:
         out = np.zeros(len(self.theta))
         by_length: dict[int, list[int]] = {}
         for k, w in enumerate(words):
-            if len(w) <= PLAIN:
-                by_length.setdefault(len(w), []).append(k)
-        for at in by_length.values():
+            by_length.setdefault(len(w), []).append(k)
+        for n, at in by_length.items():
+            if n > PLAIN:
+                together = max(1, 50_000 // n)
+                for s in range(0, len(at), together):
+                    part = at[s : s + together]
+                    out += self.expected_long(["▁" + words[k] for k in part], counts[part])
+                continue
             for s in range(0, len(at), 4096):
                 part = at[s : s + 4096]
                 alpha, ids, spans = self.equal(["▁" + words[k] for k in part])
@@ -133,6 +138,29 @@ class Forward:
         return out[: self.none]
 
 
+    def expected_long(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """expected() for words of equal length, symbol of the word start included, summed in logarithms."""
+        with np.errstate(divide="ignore"):
+            log_theta = np.log(self.theta[:, 0])
+        n = len(words[0])
+        ids = self.ids(words, self.spans(n))
+        p = log_theta[ids]
+        ends = np.cumsum([min(j, self.longest) for j in range(n + 1)]).tolist()  # the spans that end at j: ends[j - 1] to ends[j]
+        low = [max(0, j - self.longest) for j in range(n + 1)]
+        a = np.full((len(words), n + 1), -np.inf)
+        b = a.copy()
+        a[:, 0] = b[:, n] = 0
+        for j in range(1, n + 1):
+            a[:, j] = np.logaddexp.reduce(a[:, low[j] : j] + p[:, ends[j - 1] : ends[j]], axis=1)
+        for j in range(n, 0, -1):
+            through = p[:, ends[j - 1] : ends[j]]
+            through += b[:, j : j + 1]
+            b[:, low[j] : j] = np.logaddexp(b[:, low[j] : j], through)
+            through += a[:, low[j] : j]
+        p -= a[:, n:]
+        return np.bincount(ids.ravel(), (np.exp(p) * counts[:, None]).ravel(), len(self.theta))
+
+
 # ---------------------------------------------------------------- learning
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from collections import Counter
