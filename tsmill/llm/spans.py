@@ -3,18 +3,15 @@
 A text is cut into sentences, every run of several consecutive sentences is hashed, runs are compared over all
 documents, and the sentences that a repeated run covers are removed everywhere but at its first place.
 
-A sentence ends after a word that ends in . ! or ?, at a line end, and, as passages are often set into the middle of
-other sentences, after words whose last letters hash to 0 modulo LOCAL: such cuts depend on the word alone, so a passage
-is cut alike wherever it stands. A run starts at each sentence and holds the next ones until it has RUN sentences and
-LEAST_WORDS words. This is the rule "stops".
-
-Such cuts can lie far apart. The rule "gaps" also cuts after the word of least hash in each GAP consecutive words, so
-every GAP words hold a cut that depends on these words alone, and its runs hold GAP_RUN sentences and LEAST_WORDS words. A
-passage of 51 words is then found at any place: GAP_RIMS words at most stay at its start and at its end. In
-scripts written without spaces (Han, kana, Thai, Lao, Khmer, Myanmar) each character is a word; any other stretch
-without white space is one word, however long.
-
-The rule "both" removes what "stops" removes, and of what "gaps" would remove beyond that each stretch of PIECE words or more.
+A sentence ends after a word that ends in . ! or ?, at a line end and, as passages are often set into the middle of
+other sentences, after the word of least hash in each GAP consecutive words: such cuts depend on these words alone, so a
+passage is cut alike wherever it stands, and no sentence is longer than GAP words. Case (of A-Z) and white space do not
+count. A run starts at each sentence and ends with the first one that brings it to LEAST_WORDS words, so it always holds
+several sentences; one more run ends with the text, and a text of fewer words is one run. A passage of 51 words is
+found at any place: RIMS words at most stay at its start and at its end.
+
+In scripts written without spaces (Han, kana, Thai, Lao, Khmer, Myanmar) each character is a word; any other stretch
+without white space is one word, however long. Runs are compared by 63-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -27,16 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-RUN, LEAST_WORDS, LOCAL = 3, 15, 8
-GAP, GAP_RUN = 6, 2
-#: Words of a passage of 51 words or more that "gaps" may leave at its start and its end: a cut that both places share
+GAP, LEAST_WORDS = 6, 15
+#: Words of a passage of 51 words or more that may stay at its start and its end: a cut that both places share
 #: lies 2 * GAP - 1 words from a rim at most, and the last run may end GAP - 1 words before it.
-GAP_RIMS = (2 * GAP - 1, 3 * GAP - 2)
-PIECE = 25
-STOPS, GAPS = 0, 1
-RULES = {"stops": (STOPS,), "gaps": (GAPS,), "both": (STOPS, GAPS)}
-#: The bit of a place that tells the rule.
-KIND = 30
+RIMS = (2 * GAP - 1, 3 * GAP - 2)
 #: Runs that a task looks at together before it sends them on.
 TOGETHER = 400_000
 
@@ -44,28 +35,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
-
-
-def sentences(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Byte offsets at which sentences start, the end of the text last; and the words in each."""
-    b = np.frombuffer(text, np.uint8)
-    space = np.concatenate([[True], _SPACE[b], [True]])
-    starts = np.flatnonzero(space[:-1] & ~space[1:])
-    if not len(starts):
-        return np.array([0, len(b)]), np.zeros(1, np.int64)
-    ends = np.flatnonzero(~space[:-1] & space[1:])  # one past each word
-    last = b[ends - 1].astype(np.int64)
-    back = lambda k: np.where(ends - k >= starts, b[np.maximum(ends - k, 0)], 0).astype(np.int64)
-    local = ((last * 7919 + back(2) * 104729 + back(3) * 1299709) >> 4) % LOCAL == 0
-    lines = np.concatenate([[0], np.cumsum(b == 10)])
-    following = np.append(starts[1:], len(b))
-    closed = _STOP[last] | local | (lines[following] > lines[ends])
-    closed[-1] = True
-    at = np.flatnonzero(closed)
-    bounds = np.concatenate([[0], following[at]])
-    return bounds, np.diff(np.concatenate([[-1], at]))
-
-
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 _BASE = 0x9E3779B97F4A7C15
@@ -80,18 +49,18 @@ def _base_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def _word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of every letter of each word, lower-cased."""
-    up, down = _base_powers(len(b))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER[b] + np.uint64(1)) * up[: len(b)], dtype=np.uint64)])
+def _hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each stretch values[start:end], from running sums of values times powers."""
+    up, down = _base_powers(len(values))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)])
     h = (sums[ends] - sums[starts]) * down[starts]
     for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
         h = (h ^ (h >> np.uint64(31))) * np.uint64(factor)
     return h ^ (h >> np.uint64(31))
 
 
-def _units(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words, characters of scripts without spaces being words; and where white space is."""
+def _units(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words, characters of scripts without spaces being words."""
     space = np.concatenate([[True], _SPACE[b], [True]])
     start = space[:-1] & ~space[1:]
     if len(b) and b.max() >= 0xE0:
@@ -107,55 +76,51 @@ def _units(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         start &= ~space[1:]
     starts = np.flatnonzero(start[:-1])
     ends = np.flatnonzero(~space[:-1] & (space[1:] | start))
-    return starts, ends, space
+    return starts, ends
 
 
-def gap_sentences(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """As sentences(), by the rule "gaps": every GAP words hold a cut that they alone decide."""
+def sentences(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte offsets at which sentences start, the end of the text last; the word each starts with, the number of words
+    last; and a hash of each word."""
     b = np.frombuffer(text, np.uint8)
-    starts, ends, _ = _units(b)
+    starts, ends = _units(b)
     if not len(starts):
-        return np.array([0, len(b)]), np.zeros(1, np.int64)
+        return np.array([0, len(b)]), np.zeros(2, np.int64), np.zeros(0, np.uint64)
+    words = _hashes(_LOWER[b] + np.uint64(1), starts, ends)
     closed = _STOP[b[ends - 1]]
     lines = np.concatenate([[0], np.cumsum(b == 10)])
     following = np.append(starts[1:], len(b))
     closed |= lines[following] > lines[ends]
     if len(starts) >= GAP:
-        windows = np.lib.stride_tricks.sliding_window_view(_word_hashes(b, starts, ends), GAP)
+        windows = np.lib.stride_tricks.sliding_window_view(words, GAP)
         closed[np.arange(len(windows)) + GAP - 1 - windows[:, ::-1].argmin(axis=1)] = True  # of equal ones the last
     closed[-1] = True
     at = np.flatnonzero(closed)
-    return np.concatenate([[0], following[at]]), np.diff(np.concatenate([[-1], at]))
-
-
-CUTS = {STOPS: (sentences, RUN), GAPS: (gap_sentences, GAP_RUN)}
-
+    return np.concatenate([[0], following[at]]), np.concatenate([[0], at + 1]), words
 
-def run_ends(words: np.ndarray, least: int = RUN) -> np.ndarray:
-    """For each sentence that starts a run, the sentence after the run's last; sentences too near the end start none."""
-    total = np.concatenate([[0], np.cumsum(words)])
-    end = np.maximum(np.searchsorted(total, total[:-1] + LEAST_WORDS), np.arange(len(words)) + least)
-    return end[end <= len(words)]
 
+def run_bounds(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sentences at which runs start, and the sentences after their last; run k starts at sentence k but for the last run."""
+    n = len(first) - 1
+    end = np.searchsorted(first, first[:-1] + LEAST_WORDS)
+    end = end[end <= n]
+    begin = np.arange(len(end))
+    if first[-1] and (not len(end) or end[-1] < n):
+        begin = np.append(begin, max(0, np.searchsorted(first, first[-1] - LEAST_WORDS, "right") - 1))
+        end = np.append(end, n)
+    return begin, end
 
-def runs(text: bytes, kind: int = STOPS) -> np.ndarray:
-    """Hash of the run that starts at each sentence; case and white space do not count."""
-    import xxhash
 
-    split, least = CUTS[kind]
-    bounds, words = split(text)
-    ends = run_ends(words, least)
-    if not len(ends):
-        return np.zeros(0, np.int64)
-    digest, cut = xxhash.xxh64_digest, bounds.tolist()
-    hashes = b"".join([digest(b" ".join(text[s:e].lower().split())) for s, e in zip(cut, cut[1:])])
-    number = xxhash.xxh64_intdigest
-    return np.array([number(hashes[8 * i : 8 * e], kind) for i, e in enumerate(ends.tolist())], np.uint64).view(np.int64)
+def runs(text: bytes) -> np.ndarray:
+    """Hash of each run, a multiple of two."""
+    _, first, words = sentences(text)
+    begin, end = run_bounds(first)
+    return (_hashes(words, first[begin], first[end]) & ~np.uint64(1)).view(np.int64)
 
 
-def _emit(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...] = (STOPS,)) -> Iterator[pa.RecordBatch]:
-    """Rows (again, p, k, sub). Of places with one hash, those not the least here are repeats for certain: they are dealt
-    out freely (again true), so that a hash sends one row for each task and TOGETHER runs, however often it occurs."""
+def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (p, k, sub). Of places with one hash, those not the least here are repeats for certain: they are dealt out
+    freely (odd p), so that a hash sends one row for each task and TOGETHER runs, however often it occurs."""
 
     def flush(parts: list) -> Iterator[pa.RecordBatch]:
         h, k, sub = (np.concatenate(x) for x in zip(*parts))
@@ -166,19 +131,18 @@ def _emit(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...] = (STOPS,))
         h, k, sub = h[new], k[new], sub[new]
         again = np.zeros(len(h), bool)
         again[1:] = h[1:] == h[:-1]
-        p = np.where(again, h ^ (k * np.int64(-7046029254386353131)) ^ (sub * np.int64(-4417276706812531889)), h)
+        p = np.where(again, h ^ (k * np.int64(-7046029254386353131)) ^ (sub * np.int64(-4417276706812531889)) | 1, h)
         for s in range(0, len(h), 100_000):
             e = s + 100_000
-            yield pa.record_batch([pa.array(again[s:e]), pa.array(p[s:e]), pa.array(k[s:e]), pa.array(sub[s:e])], names=["again", "p", "k", "sub"])
+            yield pa.record_batch([pa.array(p[s:e]), pa.array(k[s:e]), pa.array(sub[s:e])], names=["p", "k", "sub"])
 
     parts, held = [], 0
     for b in batches:
         for k, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            for kind in kinds:
-                h = runs(text, kind)
-                if len(h):
-                    parts.append((h, np.full(len(h), k), np.int64(th) << 32 | kind << KIND | np.arange(len(h))))
-                    held += len(h)
+            h = runs(text)
+            if len(h):
+                parts.append((h, np.full(len(h), k), np.int64(th) << 32 | np.arange(len(h))))
+                held += len(h)
         if held >= TOGETHER:
             yield from flush(parts)
             parts, held = [], 0
@@ -187,67 +151,51 @@ def _emit(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...] = (STOPS,))
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places (k, sub) of runs other than the first, from rows sorted by again, p, k, sub."""
+    """Places (k, sub) of runs other than the first, from rows sorted by p, k, sub."""
     first = None  # of the hash that the last batch ended with: (p, k, sub)
     for b in batches:
         if not b.num_rows:
             continue
-        again, p, k, sub = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        p, k, sub = (c.to_numpy(zero_copy_only=False) for c in b.columns)
         head = np.ones(len(p), bool)
-        head[1:] = (p[1:] != p[:-1]) | (again[1:] != again[:-1])
+        head[1:] = p[1:] != p[:-1]
         start = np.flatnonzero(head)[np.cumsum(head) - 1]
         k0, sub0 = k[start], sub[start]
-        if first and not again[0] and first[0] == p[0]:
+        if first and first[0] == p[0]:
             k0[start == 0], sub0[start == 0] = first[1:]
-        keep = again | (k != k0) | (sub != sub0)
-        first = None if again[-1] else (p[-1], k0[-1], sub0[-1])
+        keep = (p & 1 > 0) | (k != k0) | (sub != sub0)
+        first = p[-1], k0[-1], sub0[-1]
         yield pa.record_batch([pa.array(k[keep]), pa.array(sub[keep])], names=["k", "sub"])
 
 
 def _key(columns=("doc_id", "text")):
     doc, text = map(F.col, columns)
     th = F.xxhash64(text)
-    return F.coalesce(doc, th).alias("__k"), F.shiftrightunsigned(th, 33).cast("int").alias("__th")
+    return F.coalesce(doc.cast("long"), th).alias("__k"), F.shiftrightunsigned(th, 33).cast("int").alias("__th")
 
 
-def _staying(words: np.ndarray, least: int, places: np.ndarray) -> np.ndarray:
-    """Which sentences no run that starts at one of places covers."""
-    drop = np.zeros(len(words) + 1, np.int64)
-    np.add.at(drop, places, 1)
-    np.add.at(drop, run_ends(words, least)[places], -1)
+def _staying(first: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which sentences none of the runs numbered in places covers."""
+    begin, end = run_bounds(first)
+    drop = np.zeros(len(first), np.int64)
+    np.add.at(drop, begin[places], 1)
+    np.add.at(drop, end[places], -1)
     return np.cumsum(drop)[:-1] == 0
 
 
-def _take_pieces(raw: bytes, keep: np.ndarray, places: np.ndarray) -> None:
-    """Unset keep at the bytes of each stretch of PIECE words or more that runs of the rule "gaps" cover and keep holds."""
-    if not len(places):
-        return
-    bounds, words = gap_sentences(raw)
-    more = keep & ~np.repeat(_staying(words, GAP_RUN, places), np.diff(bounds))
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], more.view(np.int8), [0]])))
-    count = np.zeros(len(raw) + 1, np.int64)
-    starts, _, _ = _units(np.frombuffer(raw, np.uint8))
-    np.add.at(count, starts + 1, 1)
-    count = np.cumsum(count)
-    for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        if count[e] - count[s] >= PIECE:
-            keep[s:e] = False
-
-
-def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", numbers: tuple[str, str] = ("n_sentences", "n_removed"), rule: str = "stops") -> DataFrame:
+def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", numbers: tuple[str, str] = ("n_sentences", "n_removed")) -> DataFrame:
     """docs with text rid of sentences covered by a repeated run that is not its first, plus two numbers.
 
     The first place is the smallest (doc_id, hash of the text, sentence). Rows that agree in doc_id and text are one
     document: each gets the same result. A null doc_id takes a place given by a hash of the text. Null and blank texts
-    and texts under LEAST_WORDS words are left as they are. Other columns pass through; those named like the two new
-    numbers are replaced.
+    are left as they are; of equal texts the first stays whole, and the others lose all they hold. No rows: no rows.
+    Texts are taken whole, whatever their length. Other columns pass through; those named like the two new numbers are replaced.
     """
     docs = docs.select(*(c for c in docs.columns if c not in numbers))
     k, th = _key((doc_id, text))
-    kinds = RULES[rule]
     narrow = docs.where(F.col(text).isNotNull()).select(k, th, F.col(text).cast("binary").alias("b"))
-    rows = narrow.mapInArrow(lambda batches: _emit(batches, kinds), "again boolean, p long, k long, sub long")
-    found = rows.repartition("p").sortWithinPartitions("again", "p", "k", "sub").mapInArrow(_repeats, "k long, sub long")
+    rows = narrow.mapInArrow(_emit, "p long, k long, sub long")
+    found = rows.repartition("p").sortWithinPartitions("p", "k", "sub").mapInArrow(_repeats, "k long, sub long")
     # rows repeating a document give its places twice; a document's list is as long as the document at most
     places = found.groupBy(F.col("k").alias("__k2"), F.shiftright("sub", 32).cast("int").alias("__th2")).agg(
         F.collect_set(F.col("sub").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("__places")
@@ -261,18 +209,13 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             texts, total, gone = b.column(at).to_pylist(), [], []
             for i, places in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 raw = (texts[i] or "").encode()
-                places = np.array(places or [], np.int64)
-                bounds, words = CUTS[kinds[0]][0](raw)
-                n = len(words) if raw.strip() else 0
+                bounds, first, words = sentences(raw)
                 removed = 0
-                if len(places):
-                    stay = _staying(words, CUTS[kinds[0]][1], places[places >> KIND == kinds[0]] & ((1 << KIND) - 1))
-                    keep = np.repeat(stay, np.diff(bounds))
-                    if len(kinds) > 1:
-                        _take_pieces(raw, keep, places[places >> KIND == GAPS] & ((1 << KIND) - 1))
-                    removed = int((np.add.reduceat(~keep, bounds[:-1]) > 0).sum()) if len(keep) else 0
-                    texts[i] = np.frombuffer(raw, np.uint8)[keep].tobytes().decode()
-                total.append(n)
+                if places:
+                    stay = _staying(first, np.array(places))
+                    removed = int((~stay).sum())
+                    texts[i] = np.frombuffer(raw, np.uint8)[np.repeat(stay, np.diff(bounds))].tobytes().decode()
+                total.append(len(first) - 1 if len(words) else 0)
                 gone.append(removed)
             columns = [pa.array(texts, pa.string()) if j == at else c for j, c in enumerate(b.columns[:-1])]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int32()), pa.array(gone, pa.int32())], names=names)
@@ -284,9 +227,12 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def rid_of_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated passages removed and n_chars renewed; documents of which nothing is left go."""
+    """docs with repeated passages removed and n_chars renewed; documents of which nothing is left go.
+
+    Nulls, ties, repeated rows and long texts: see remove_repeated(). Columns of any name pass through.
+    """
     own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    out = remove_repeated(docs.toDF(*own.values()), own["doc_id"], own["text"], ("n", "gone"), rule="both")
+    out = remove_repeated(docs.toDF(*own.values()), own["doc_id"], own["text"], ("n", "gone"))
     out = out.where((F.col("gone") == 0) | (F.regexp_count(own["text"], F.lit(r"\S")) > 0))
     renewed = {c: F.col(k) for c, k in own.items()}
     if "n_chars" in own:
