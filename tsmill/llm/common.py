@@ -95,8 +95,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
     def summary(df: DataFrame):
-        r = df.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
     before = summary(links)
     for _ in range(max_rounds):
