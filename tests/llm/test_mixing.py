@@ -44,10 +44,8 @@ def test_targets_sizes_and_taken(spark):
         assert g["source_size"] == size[g["source"]] and abs(g["target"] - target[g["source"]]) < 1e-6
         assert 0 <= g["taken"] <= 2 * g["size"]
         taken[g["source"]] = taken.get(g["source"], 0) + g["taken"]
-    words = sum(size.values())
-    block = min(M.MAX_BLOCK, max(1, -(-words // M.SLOTS)))
     for s in size:
-        assert abs(taken[s] - target[s]) <= 12 * block + 0.01 * target[s], s
+        assert abs(taken[s] - target[s]) <= 0.5, s
     again = M.mix(df.repartition(7)).collect()
     key = lambda x: sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in x)
     assert key(got) == key(again)
@@ -81,3 +79,56 @@ def test_every_source_meets_its_target(spark):
         assert all(abs(g["taken"] - g["target"]) <= 0.5 for g in got)
         _, target = plain_targets(rows)
         assert all(abs(g["target"] - target[g["source"]]) < 1e-6 for g in got)
+
+
+def test_schedule_is_even_and_blocks_are_equal(spark):
+    """Slots follow the golden-ratio points; each stretch holds the sources in proportion; blocks differ by a word."""
+    shares = {0: 700_000, 1: 250_000, 2: 49_990, 3: 10, 4: 0}
+    by = spark.createDataFrame(list(shares.items()), "sid int, quota long")
+    rows = sorted((x.slot, x.sid, x.r) for x in M.schedule(by, 10_000).collect())
+    points = [(i + 1) * M.STEP % 1 for i in range(10_000)]
+    edge = [0.7, 0.95, 0.99999, 1.0]
+    want = [next(k for k, e in enumerate(edge) if u < e) for u in points]
+    assert [sid for slot, sid, _ in rows if slot < 10_000] == want
+    assert [(slot, sid) for slot, sid, _ in rows if slot >= 10_000] == ([] if 3 in want else [(10_003, 3)])
+    for lo in range(0, 10_000, 500):
+        assert abs(want[lo : lo + 500].count(1) - 125) <= 6
+    for s in range(4):
+        assert [r for _, sid, r in rows if sid == s] == list(range(sum(sid == s for _, sid, _ in rows)))
+
+
+def test_slots_hold_equal_blocks(spark):
+    rows = [(i, "w " * 10, f"s{i % 2}") for i in range(4000)]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all((g.slot is None) == (g.taken == 0) for g in got)
+    # a document of the first pass is taken by an early slot or the like: slots rise along the line
+    for s in ("s0", "s1"):
+        line = [g.slot for g in sorted((g for g in got if g.source == s and g.slot is not None), key=lambda g: (g.h, g.doc_id))]
+        assert line == sorted(line)
+
+
+def test_copies_go_to_their_own_rows(spark):
+    """Equal id and text under two sources, and rows that differ in another column only."""
+    rows = [(i, f"a{i} b c d", s, n) for i in range(200) for s, n in (("a", 1), ("b", 1))] + [(5000, "only words", "c", n) for n in range(40)]
+    rows += [(9000 + i, "x " * 400, "b", 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, k1 long")
+    plan = {}
+    for g in M.mix(df).collect():
+        plan[g.source] = plan.get(g.source, 0) + int(g.taken / g["size"] + 0.5)
+    got = {x.source: x["count"] for x in M.mixed_documents(df).groupBy("source").count().collect()}
+    assert got == {s: n for s, n in plan.items() if n}
+    once = M.mixed_documents(df).groupBy(*df.columns).count()
+    assert once.where("count > 2").count() == 0
+
+
+def test_against_sql(spark):
+    import duckdb
+    import pyarrow as pa
+
+    rows = rows_of(400, 5)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist([{"doc_id": d, "text": t, "source": s} for d, t, s in rows]))
+    want = con.execute(M.SQL).fetchall()
+    got = M.mix(df).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
