@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -19,8 +20,8 @@ def test_edits_and_order(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cell", F.lit("clash")).withColumn("t", F.lit(1)).repartition(5)
     got = I.fingerprints(df).collect()
     assert len(got) == len(rows)
-    h = {t or "": x for t, x in df.select(F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
-    line = sorted(((d is None, d or 0, h[t or ""], t or "") for d, t in rows))
+    h = lambda t: hashlib.md5(t.encode()).hexdigest()[:15]
+    line = sorted(((d is None, d or 0, h(t or ""), t or "") for d, t in rows))
     want = []
     for (none, d, _, t), nxt in zip(line, line[1:] + line[:1]):
         k = len(t) // 2
@@ -38,33 +39,58 @@ def test_edits_and_order(spark):
     assert sum(g.near_edited for g in long) > 3 * sum(g.near_next for g in long)
 
 
-def test_components_against_brute_force(spark):
-    rows = [(d, t) for d, t in corpus(400) if d is not None]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    lex = {r.t: r.subsets for r in I.lexicon(df, len(rows)).collect()}
-    import re
+def components(text, lex):
+    """The plain way: hashes of sorted distinct terms."""
+    md5 = lambda x, n: hashlib.md5(x.encode()).hexdigest()[:n]
+    terms = sorted(set(re.findall(r"[^\W_]+", text.lower())))
+    held = [w for w in terms if w in lex]
+    first = md5(" ".join(held) if held else " ".join(terms) if terms else text, I.FIRST)
+    rest = []
+    for family in range(I.EACH):
+        for level in I.LEVELS:
+            inside = [w for w in held if int(md5(w, 32)[8 * family :][:3], 16) < 4096 / 2**level]
+            rest.append(md5(" ".join(inside), I.OTHER) if inside else "-")
+    return [first, *rest]
 
-    terms = lambda t: set(re.findall(r"[^\W_]+", (t or "").lower()))
+
+def test_all_columns_against_brute_force(spark):
+    rows = corpus(400)
+    text = [t or "" for _, t in rows]
     freq = {}
-    for _, t in rows:
-        for w in terms(t):
+    for t in text:
+        for w in set(re.findall(r"[^\W_]+", t.lower())):
             freq[w] = freq.get(w, 0) + 1
-    words = spark.createDataFrame([(w,) for w in freq], "w string").select("w", F.xxhash64("w").alias("t")).collect()
-    t_of = {r.w: r.t for r in words}
     lo, hi = max(2.0, I.BAND[0] * len(rows)), max(3.0, I.BAND[1] * len(rows))
-    assert set(lex) == {t_of[w] for w, n in freq.items() if lo <= n <= hi}
+    lex = {w for w, n in freq.items() if lo <= n <= hi}
+    assert len(lex) > 20
+    line = sorted((d is None, d or 0, hashlib.md5((t or "").encode()).hexdigest()[:15], t or "", d) for d, t in rows)
+    alike = lambda a, b: sum(x == y != "-" for x, y in zip(a, b)) / sum(x != "-" or y != "-" for x, y in zip(a, b))
     want = []
-    for d, t in rows:
-        parts = []
-        for i in range(len(I.SUBSETS)):
-            x = 0
-            for w in terms(t):
-                if lex.get(t_of[w], 0) >> i & 1:
-                    x ^= t_of[w]
-            parts.append("-" if x == 0 else f"{x & 0xFFFFFFFF:08x}")
-        want.append((d, parts))
-    got = [(g.doc_id, g.fingerprint.split(".")[1:]) for g in I.fingerprints(df).collect()]
-    assert sorted(got) == sorted(want)
+    for (*_, t, d), (*_, nxt, _) in zip(line, line[1:] + line[:1]):
+        k = len(t) // 2
+        e = t[: len(t) - k] + nxt[:k]
+        a, b, c = (components(x, lex) for x in (t, e, nxt))
+        want.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), ".".join(a), ".".join(b), alike(a, b), alike(a, c)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = I.fingerprints(df).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    import duckdb
+    import pyarrow as pa
+
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist([{"doc_id": d, "text": t} for d, t in rows]))
+    assert sorted(map(repr, con.execute(I.SQL).fetchall())) == sorted(map(repr, want))
+
+
+def test_cells_are_bounded(spark):
+    """One far id, one id on a third of the rows, and null ids on a fifth: no cell holds more than a few hundred rows."""
+    ids = [10**15, -(2**62), *range(50_000), *[77] * 33_000, *[None] * 20_000]
+    r = random.Random(2)
+    df = spark.createDataFrame([(d, r.randrange(1 << 60)) for d in ids], "doc_id long, h long")
+    placed = I.placed_in_cells(df, len(ids))
+    assert placed.groupBy("cell").count().agg(F.max("count")).first()[0] <= 8 * I.PER_CELL
+    line = sorted(((x.doc_id is None, x.doc_id or 0, x.h, x.cell) for x in placed.collect()), key=lambda x: x[:3])
+    assert [x[3] for x in line] == sorted(x[3] for x in line)
 
 
 def test_few_rows(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tsmill.llm.imatch import SQL as imatch_sql
 from tsmill.llm.mixing import SQL as mixing_sql
 
 
@@ -72,4 +73,4 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language, op2_simhash, op3_mixing, op4_bpe, op5_sharding, op6_imatch, op7_spans, op8_toxicity, op9_neighbours, op10_lm)}
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing_sql}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing_sql, "op6_imatch": imatch_sql}
