@@ -110,3 +110,17 @@ def test_held_out_texts_gain(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = L.score_documents(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.max("score")).first()
     assert r[0] > r[1] and r[2] < 0
+
+
+def test_counts_beyond_32_bits():
+    import numpy as np
+    import pyarrow as pa
+
+    from tsmill.llm import lm
+
+    counts = lm.Counts.__new__(lm.Counts)
+    counts.segments = 1
+    n = np.array([5_000_000_000, 3, 70_000], np.int64)
+    (blob,) = counts._word_blobs()(iter([pa.record_batch([pa.array([1, 2, 3]), pa.array(n)], names=["h", "n"])]))
+    _, c = lm._unpack(blob.column(1)[0].as_py(), blob.column(2)[0].as_py())
+    assert sorted(c.tolist()) == sorted(n.tolist()) and lm.level(c).max() == 33

@@ -101,8 +101,8 @@ def _pair_blobs(segments: int):
             h, n = _counted(np.concatenate(parts))
             bounds = np.searchsorted(_segment(h, segments), np.arange(segments + 1))
             at = [s for s in range(segments) if bounds[s] < bounds[s + 1]]
-            rows = [(pack(h[bounds[s] : bounds[s + 1]]), n[bounds[s] : bounds[s + 1]].astype(np.uint32)) for s in at]
-            small = [np.where(n < 255, n, 255).astype(np.uint8).tobytes() + n[n >= 255].tobytes() for _, n in rows]
+            rows = [(pack(h[bounds[s] : bounds[s + 1]]), n[bounds[s] : bounds[s + 1]]) for s in at]
+            small = [pack_counts(n) for _, n in rows]
             for k in range(0, len(at), 64):
                 yield pa.record_batch(
                     [pa.array(at[k : k + 64], pa.int32()), pa.array([h for h, _ in rows[k : k + 64]], pa.binary()), pa.array(small[k : k + 64], pa.binary())],
@@ -144,10 +144,19 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(d, dtype=np.uint64)
 
 
+def pack_counts(n: np.ndarray) -> bytes:
+    """Counts as bytes; larger ones are marked and follow in 32 bits, and those too large for these in 64."""
+    wide, widest = n >= 255, n >= int(_FAR)
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + np.minimum(n[wide], int(_FAR)).astype(np.uint32).tobytes() + n[widest].astype(np.int64).tobytes()
+
+
 def _unpack(h: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
     h = unpack(h)
-    c = np.frombuffer(n[: len(h)], np.uint8).astype(np.int64)
-    c[c == 255] = np.frombuffer(n[len(h) :], np.uint32)
+    c = np.frombuffer(n, np.uint8, len(h)).astype(np.int64)
+    wide = c == 255
+    end = len(h) + 4 * int(wide.sum())
+    c[wide] = np.frombuffer(n[len(h) : end], np.uint32)
+    c[c == int(_FAR)] = np.frombuffer(n[end:], np.int64)
     return h, c
 
 
@@ -258,8 +267,7 @@ class Counts:
                 h, n = h[order], n[order]
                 bounds = np.searchsorted(_segment(h, segments), np.arange(segments + 1))
                 for s in np.flatnonzero(np.diff(bounds)).tolist():
-                    c = n[bounds[s] : bounds[s + 1]].astype(np.uint32)
-                    packed = np.where(c < 255, c, 255).astype(np.uint8).tobytes() + c[c >= 255].tobytes()
+                    packed = pack_counts(n[bounds[s] : bounds[s + 1]])
                     yield pa.record_batch([pa.array([s], pa.int32()), pa.array([pack(h[bounds[s] : bounds[s + 1]])], pa.binary()), pa.array([packed], pa.binary())], names=["segment", "h", "n"])
 
         return run
