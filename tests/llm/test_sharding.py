@@ -64,3 +64,51 @@ def test_versions_are_exclusive_and_stay(spark):
 def test_empty_table(spark):
     store, version = H.shard(spark.createDataFrame([], "doc_id long, text string"))
     assert H.contents(store, version).collect() == []
+
+
+def test_writers_do_not_lose_shards(spark):
+    """A writer that has written its shards and not yet committed them keeps them, whatever others vacuum and commit."""
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"))
+    store = H.ShardStore(spark, new_folder(spark, "t"), **OPTIONS)
+    store.append(df.where("doc_id < 500"), rows=50)
+    late = "data/late"
+    df.where("doc_id >= 500").write.parquet(f"{store.folder}/{late}")
+    store.append(df.where("doc_id < 10"), rows=50)
+    store.compact_fully()
+    store.vacuum()
+    assert store.add(late) == store.version()
+    assert sorted(r.doc_id for r in store.read().collect()) == sorted([*range(1000), *range(10)])
+
+
+def test_of_two_writers_the_second_tries_again(spark, monkeypatch):
+    df = spark.range(100).select(F.col("id").alias("doc_id"))
+    store, other = (H.ShardStore(spark, f, **OPTIONS) for f in [new_folder(spark, "t")] * 2)
+    plain, hurried = store.manifest, []
+
+    def slow(version=None):
+        if not hurried:
+            hurried.append(1)
+            other.append(df.where("doc_id < 50"))
+        return plain(version)
+
+    monkeypatch.setattr(store, "manifest", slow)
+    assert store.append(df.where("doc_id >= 50")) == 2
+    assert store.read().count() == 100
+
+
+def test_versions_that_are_kept_read(spark):
+    df = spark.range(400).select(F.col("id").alias("doc_id"))
+    store = H.ShardStore(spark, new_folder(spark, "t"), **OPTIONS)
+    for k in range(4):
+        store.append(df.where(f"doc_id % 4 = {k}"), rows=20)
+    store.compact_fully(keep=3)
+    last = store.version()
+    assert [store.read(v).count() for v in (last - 2, last - 1, last)] == [300, 400, 400]
+
+
+def test_odd_columns_and_long_texts(spark):
+    df = spark.createDataFrame([(1, "x" * 3_000_000, 5, "n"), (None, "", None, None), (None, None, 7, "m")], "doc_id long, text string, part int, name string")
+    store, version = H.shard(df, **OPTIONS)
+    key = lambda rows: sorted(map(repr, map(tuple, rows)))
+    assert key(store.read().select(*df.columns).collect()) == key(df.collect())
+    assert H.contents(store, version).count() == 3

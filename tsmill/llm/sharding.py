@@ -5,13 +5,14 @@ shuffle. Shards belong to tiers by size, each FANOUT times the one below. Compac
 lines its shards up and cuts the line into runs of about the target size; each run is read by one task and written as
 one file, so no row is shuffled. Every change writes a table of the live shards and then names it in a file
 v<number>.json, put in place by a rename that fails if the name is taken: readers see the old version or the new one,
-and of two writers one has to begin anew. Replaced shards stay until vacuum().
+and of two writers one has to begin anew. Replaced shards stay until vacuum() ends the versions that hold them.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from tsmill.llm.common import new_folder
 FANOUT, LEAST_BYTES, TARGET_BYTES, SHARD_ROWS = 4, 4 << 20, 96 << 20, 2000
 #: Runs that one job merges.
 RUNS = 256
+#: How often a change is tried again after others have come first.
+TRIES = 20
 ENTRY = "path string, bytes long, rows long, least long, most long, tier int, since int"
 
 
@@ -102,10 +105,32 @@ class ShardStore:
 
     def append(self, docs: DataFrame, ident: str = "doc_id", rows: int = SHARD_ROWS) -> int:
         """Add docs as shards of at most `rows` rows; the new version. Each task writes what it reads."""
-        base = self.version()
         folder = f"data/{uuid.uuid4().hex}"
         docs.write.option("maxRecordsPerFile", rows).option("compression", "zstd").parquet(f"{self.folder}/{folder}")
-        return self.commit(self.manifest(base).unionByName(self._entries(folder, ident, base + 1)), base)
+        return self.add(folder, ident)
+
+    def append_parts(self, docs: DataFrame, part, parts: int, ident: str = "doc_id", rows: int = SHARD_ROWS) -> int:
+        """As append(), with a version for each value 0, 1, ... of part; docs are read once."""
+        name = "part"
+        while name in docs.columns:
+            name += "_"
+        folder = f"data/{uuid.uuid4().hex}"
+        docs.withColumn(name, part).write.partitionBy(name).option("maxRecordsPerFile", rows).option("compression", "zstd").parquet(f"{self.folder}/{folder}")
+        for k in range(parts):
+            if self._names(f"{folder}/{name}={k}"):
+                self.add(f"{folder}/{name}={k}", ident)
+        return self.version()
+
+    def add(self, folder: str, ident: str = "doc_id") -> int:
+        """Commit the shards of a folder; where other writers come first, again on top of what they have committed."""
+        entries = self._entries(folder, ident, 0)
+        for _ in range(TRIES):
+            base = self.version()
+            try:
+                return self.commit(self.manifest(base).unionByName(entries.withColumn("since", F.lit(base + 1))), base)
+            except Conflict:
+                continue
+        raise Conflict(f"others came first {TRIES} times")
 
     def plan(self, entries: DataFrame) -> DataFrame:
         """path, run: which shards are merged with which. Shards of full size and tiers of few shards stay."""
@@ -135,24 +160,36 @@ class ShardStore:
         live = entries.join(gone, "path", "left_anti").unionByName(self._entries(folder, ident, base + 1))
         return self.commit(live, base)
 
-    def compact_fully(self, ident: str = "doc_id") -> int:
-        while (done := self.compact(ident)) is not None:
-            self.vacuum(done)
-        return self.version()
-
-    def vacuum(self, keep: int | None = None) -> int:
-        """Delete shards that version keep (the last by default) does not hold; the number of files. Older versions end."""
-        live = {r["path"] for r in self.manifest(keep).select("path").toLocalIterator()}
+    def compact_fully(self, ident: str = "doc_id", keep: int = 1) -> int:
+        """Compact until no tier is crowded, keeping the last `keep` versions readable; begin a round anew if others come first."""
+        tries = 0
+        while True:
+            try:
+                done = self.compact(ident)
+            except Conflict:
+                tries += 1
+                if tries >= TRIES:
+                    raise
+                continue
+            if done is None:
+                return self.version()
+            self.vacuum(keep)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """End all versions but the last `keep` and delete the shards that only they hold; the number of files.
+
+        What no version names is left alone: another writer may be about to commit it.
+        """
+        numbers = sorted(int(n[1:-5]) for n in self._names("versions") if n.startswith("v") and n.endswith(".json"))
+        retired, kept = numbers[:-keep], numbers[-keep:]
+        if not retired:
+            return 0
+        paths = lambda vs: reduce(DataFrame.unionByName, [self.manifest(v).select("path") for v in vs])
         n = 0
-        for folder in self._names("data"):
-            names = [x for x in self._names(f"data/{folder}") if x.endswith(".parquet")]
-            dead = [x for x in names if f"data/{folder}/{x}" not in live]
-            if len(dead) == len(names):
-                self._fs().delete(self._path(f"data/{folder}"), True)
-            else:
-                for x in dead:
-                    self._fs().delete(self._path(f"data/{folder}/{x}"), False)
-            n += len(dead)
+        for r in paths(retired).distinct().join(paths(kept), "path", "left_anti").toLocalIterator():
+            n += bool(self._fs().delete(self._path(r["path"]), False))
+        for v in retired:  # last, so that a vacuum cut short can be repeated
+            self._fs().delete(self._path(f"versions/v{v:08d}.json"), False)
         return n
 
     def read(self, version: int | None = None) -> DataFrame | None:
@@ -164,12 +201,12 @@ class ShardStore:
 def shard(docs: DataFrame, arrivals: int = 4, ident: str = "doc_id", rows: int = SHARD_ROWS, **options) -> tuple[ShardStore, int]:
     """A new store in the shared folder with docs appended in several arrivals and compacted; and its version.
 
-    An arrival is a part of the ids by hash. Null ids and repeated rows are kept like any other row.
+    An arrival is a part of the ids by hash. Null ids, null, empty and very long texts and repeated rows are kept like any other row; a
+    table without rows gives a store without shards; columns of any name are kept. The store is new, so no reader has an
+    older version in hand: compaction keeps the last one only.
     """
     store = ShardStore(docs.sparkSession, new_folder(docs.sparkSession, "store"), **options)
-    part = F.pmod(F.xxhash64(ident), F.lit(arrivals))
-    for k in range(arrivals):
-        store.append(docs.where(part == k), ident, rows)
+    store.append_parts(docs, F.pmod(F.xxhash64(ident), F.lit(arrivals)), arrivals, ident, rows)
     return store, store.compact_fully(ident)
 
 
