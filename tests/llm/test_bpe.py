@@ -61,3 +61,10 @@ def test_tables(spark, both):
     round_trip = B.decode_documents(B.encode_documents(df)).where("doc_id = 1").first()
     assert round_trip.decoded == lib.decode(round_trip.token_ids, skip_special_tokens=False) and round_trip.n_tokens == "clash"
     assert B.digests(df.limit(0)).collect() == []
+
+
+def test_narrow_ids(spark):
+    from tsmill.llm import bpe
+
+    df = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id int, text string")
+    assert {x.doc_id: x.n_tokens for x in bpe.digests(df).collect()}[None] == 0

@@ -114,3 +114,8 @@ def test_near_duplicates_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_narrow_ids(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id int, text string")
+    assert {x.component_id for x in S.near_duplicates(df).collect()} == {1}

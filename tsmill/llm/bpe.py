@@ -281,7 +281,8 @@ def decode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; a null text counts as empty, other columns are not read.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row. A null text counts as empty; repeated rows each get a row;
+    no rows: no rows; texts are taken whole, whatever their length; other columns, whatever their names, are not read.
 
     Each batch is encoded where it is read: no row moves.
     """
@@ -297,4 +298,4 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 text.append(z)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

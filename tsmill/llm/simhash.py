@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsmill.llm.common import connected_components, cut
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fp = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    narrow = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, fp long")
 
 
@@ -288,12 +288,15 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs without those that are not the smallest doc_id of their group; of rows repeating an id, one stays.
+    """docs without those that are not the smallest doc_id of their group; of rows repeating an id, the one whose columns
+    have the least hash stays.
 
     Shingles are of five words here. Fingerprints within three bits stand for a similarity of well over 0.8.
 
     Rows whose doc_id is null are kept: nothing names them.
     """
     keepers = near_duplicates(docs, width).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null").join(keepers, "doc_id", "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns), *docs.columns)
+    named = named.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*docs.columns)
     return named.unionByName(docs.where("doc_id is null"))
