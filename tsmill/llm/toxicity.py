@@ -19,8 +19,8 @@ from tsmill.llm.common import cut, drop_cut, remainder
 
 #: Labelled rows that training reads at most, those with the smallest hash of their id.
 TRAIN_ROWS = 20_000
-#: Words that the model keeps at most, by chi-square between word and grade > 0; the least chi-square; the least documents.
-FEATURES, LEAST_CHI, LEAST_DOCS = 2000, 12.0, 5
+#: Words of the model: the least chi-square between word and grade > 0, and the least documents of the sample that hold them.
+LEAST_CHI, LEAST_DOCS = 12.0, 5
 STEPS, RATE, DECAY = 400, 0.05, 1.0
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -85,9 +85,10 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, grades: DataFrame, most: int = TRAIN_ROWS) -> Ordinal:
-    """grades: doc_id, grade (0, 1, ...), a row for each labelled document at most; the smallest hashes train."""
+    """grades: doc_id, grade (0, 1, ...), a row for each labelled document at most; the smallest hashes train, `most` rows at most."""
     chosen = grades.where("doc_id is not null and grade is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(most)
     texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", F.col("grade").cast("int").alias("grade"))), "doc_id")
+    texts = texts.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(most)  # repeated ids: no more rows than that
     sets = cut(texts.select("grade", "text").mapInArrow(_word_sets, "grade int, words array<string>"), "toxicity")
     n, positive, top = sets.agg(F.count("*"), F.sum((F.col("grade") > 0).cast("int")), F.max("grade")).first()
     if not n or not positive or positive == n:  # one grade, or none: nothing to tell apart
@@ -97,7 +98,7 @@ def learn(docs: DataFrame, grades: DataFrame, most: int = TRAIN_ROWS) -> Ordinal
     table = sets.select("grade", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").cast("double").alias("d"), a).where(F.col("d") >= LEAST_DOCS)
     expect = F.col("d") * positive / n
     chi = (F.col("a") - expect) ** 2 * n / (expect * (F.lit(float(n)) - positive) * (F.lit(float(n) + 1e-9) - F.col("d")) / n)
-    best = table.withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "word").limit(FEATURES)
+    best = table.withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy("word")
     words = {r["word"]: k for k, r in enumerate(best.select("word").collect())}
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +118,7 @@ def learn(docs: DataFrame, grades: DataFrame, most: int = TRAIN_ROWS) -> Ordinal
 def severity(docs: DataFrame, model: Ordinal, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns keep of docs with severity (expected grade), grade (the most probable) and toxic (P(grade > 0) >= 1/2).
 
-    The model holds FEATURES words at most. A null text or one without words is of grade 0.
+    The model holds words of the sample that it learned from, so its size is bounded. A null text or one without words is of grade 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
