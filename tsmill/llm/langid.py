@@ -62,6 +62,7 @@ class Forward:
         rows = np.zeros((1, theta.shape[1])), np.full((1, theta.shape[1]), UNKNOWN)
         self.theta = np.concatenate([theta, *rows])  # the last rows: no such piece, an unknown letter
         self.none, self.unknown = len(theta), len(theta) + 1
+        self.log_theta = None  # of words too long for plain sums only
 
     def spans(self, n: int) -> list[tuple[int, int]]:
         return [(i, j) for j in range(1, n + 1) for i in range(max(0, j - self.longest), j)]
@@ -83,8 +84,10 @@ class Forward:
         return alpha, ids, spans
 
     def long(self, word: str) -> np.ndarray:
-        with np.errstate(divide="ignore"):
-            log_theta = np.log(self.theta)
+        if self.log_theta is None:
+            with np.errstate(divide="ignore"):
+                self.log_theta = np.log(self.theta)
+        log_theta = self.log_theta
         n, get = len(word), self.pieces.get
         a = np.full((n + 1, self.theta.shape[1]), -np.inf)
         a[0] = 0
