@@ -120,3 +120,27 @@ def test_count_min(spark):
     s = K.count_min_sketch(df, [], "v", 0.01, 0.01)
     got = [s.select(K.approx_count(x, "sketch")).first()[0] for x in ("1", "49", "50", "99", "none")]
     assert got[0] >= 2 and got[1] >= 2 and got[2] >= 1 and got[3] >= 1 and all(g <= 4 for g in got)
+
+
+def test_sketches_that_differ_do_not_merge(spark):
+    df = spark.range(1, 1000).select(F.col("id").cast("double").alias("v"))
+    both = K.uddsketch(df, [], "v", 100, 0.01).unionByName(K.uddsketch(df, [], "v", 100, 0.05))
+    with pytest.raises(Exception, match="cannot be merged"):
+        K.rollup_uddsketch(both, [], "sketch", 100, 0.01).collect()
+
+
+def test_digest_does_not_depend_on_the_order_of_rows(spark):
+    df = spark.range(400_000).select((F.col("id") * 7919 % 300_007 / 7).alias("v"))
+    one, two = (K.tdigest(x, [], "v", 100).select("sketch", K.tdigest_percentile("sketch", 0.5).alias("p")).first() for x in (df.repartition(3), df.orderBy("v").repartition(7)))
+    assert one == two and one["sketch"]["count"] == 400_000
+    assert abs(one["p"] - 300_007 / 14) < 300
+
+
+def test_sums_out_of_range_are_an_error(spark):
+    from tsmill.functions import stats
+
+    df = spark.createDataFrame([(1e308,), (1e308,), (-1e308,)], "v double")
+    with pytest.raises(Exception, match="22003"):
+        df.agg(stats.stats_agg("v").alias("s")).collect()
+    inf = spark.createDataFrame([(float("inf"),), (1.0,)], "v double")
+    assert inf.agg(stats.stats_agg("v").alias("s")).first()["s"]["n"] == 2

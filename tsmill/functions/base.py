@@ -95,6 +95,6 @@ def own_keys(f: Callable) -> Callable:
 def salted_rollup(df: DataFrame, keys: list[str], column: str, rollup: Callable[[Column], Column], parts: int = 32) -> DataFrame:
     """Roll up summaries whose order does not matter in two steps, so that a key with very many of them is first
     merged in `parts` parts."""
-    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).alias("__part")
+    salt = F.pmod(F.xxhash64(column), F.lit(parts)).alias("__part")  # of what the row holds: a task that runs again deals alike
     first = df.select(*keys, column, salt).groupBy(*keys, "__part").agg(rollup(F.col(column)).alias(column))
     return first.groupBy(*keys).agg(rollup(F.col(column)).alias(column))

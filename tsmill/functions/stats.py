@@ -21,11 +21,19 @@ def _moments(x: Column, v: str) -> list[Column]:
     # Spark gives no skewness or kurtosis where nothing varies; the third and fourth sums are 0 there
     m3 = F.coalesce(F.skewness(x), F.lit(0.0)) * F.pow(spread, F.lit(1.5)) * n
     m4 = F.coalesce((F.kurtosis(x) + 3.0) * spread * spread * n, F.lit(0.0))
-    return [F.coalesce(F.sum(x), F.lit(0.0)).alias(f"s{v}"), m2.alias(f"s{v}2"), m3.alias(f"s{v}3"), m4.alias(f"s{v}4")]
+    s = F.coalesce(F.sum(x), F.lit(0.0))
+    # NaN is the largest double: only finite inputs whose sums are not finite are an error
+    large = F.max(F.abs(x)) < float("inf")
+    over = large & ~((F.abs(s) < float("inf")) & (m2 < float("inf")) & (F.abs(m3) < float("inf")) & (m4 < float("inf")))
+    s = F.when(over, F.raise_error(F.lit("[22003] value out of range: overflow")).cast("double")).otherwise(s)
+    return [s.alias(f"s{v}"), m2.alias(f"s{v}2"), m3.alias(f"s{v}3"), m4.alias(f"s{v}4")]
 
 
 def stats_agg(y: ColumnLike, x: ColumnLike | None = None) -> Column:
-    """Summary of one variable, or of y against x (y comes first). Rows with a null are left out; none left: n = 0."""
+    """Summary of one variable, or of y against x (y comes first). Rows with a null are left out; none left: n = 0.
+
+    Finite values whose power sums are beyond a double are an error.
+    """
     if x is None:
         v = col(y).cast("double")
         return F.struct(F.count(v).alias("n"), *_moments(v, "x"))

@@ -80,9 +80,11 @@ def percentile_agg(df: DataFrame, keys: list[str], value: str, name: str = "sket
 
 @own_keys
 def rollup_uddsketch(df: DataFrame, keys: list[str], sketch: str, size: int, max_error: float, name: str = "sketch") -> DataFrame:
-    """Merge sketches of one size and error; the coarsest decides where to begin."""
+    """Merge sketches of this size and error, others being an error; the coarsest decides where to begin."""
     s = F.col(sketch)
-    part = df.where(s.isNotNull()).select(*keys, s["compactions"].alias("c"), s["sum"].alias("sum"), s["count"].alias("count"), F.explode(s["buckets"]).alias("b"))
+    unlike = (s["error"] != F.lit(float(max_error))) | (s["size"] != size)
+    c = F.when(unlike, F.raise_error(F.lit("sketches of another size or error cannot be merged")).cast("int")).otherwise(s["compactions"])
+    part = df.where(s.isNotNull()).select(*keys, c.alias("c"), s["sum"].alias("sum"), s["count"].alias("count"), F.explode(s["buckets"]).alias("b"))
     # each bucket takes its share of the sum, so that the total comes out
     share = F.col("sum") * F.col("b.n") / F.col("count")
     grouped = part.groupBy(*keys, F.col("b.sign").alias("sign"), F.col("b.idx").alias("idx"), "c").agg(F.sum("b.n").alias("n"), F.sum(share).alias("total"))
@@ -179,23 +181,24 @@ def _digest_table(keys: list[str], table: pa.Table, rows: list[tuple]) -> pa.Tab
 def tdigest(df: DataFrame, keys: list[str], value: str, size: int, name: str = "sketch", part_rows: int = 100_000) -> DataFrame:
     """Percentile digest of about `size` centroids. Nulls and NaN are left out.
 
-    Values are cut into parts of about part_rows by hash, each part is digested on its own and the digests are merged, so
-    no task holds a large group.
+    Equal values are counted first. Values are cut into parts of about part_rows distinct ones by hash, each part is
+    digested on its own and the digests are merged, so no task holds a large group and the order of rows does not matter.
     """
     v = F.col(value).cast("double")
-    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("__v"))
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, (v + F.lit(0.0)).alias("__v")).groupBy(*keys, "__v").agg(F.count("*").alias("__w"))
     sized = rows.groupBy(*keys).agg(F.count("*").alias("__n")) if keys else rows.agg(F.count("*").alias("__n"))
     crowded = sized.where(F.col("__n") > part_rows)  # at most rows / part_rows groups
     parts = crowded.select(*keys, F.ceil(F.col("__n") / part_rows).cast("int").alias("__parts"))
     joined = rows.join(parts, keys, "left") if keys else rows.crossJoin(F.broadcast(sized.select(F.ceil(F.col("__n") / part_rows).cast("int").alias("__parts"))))
-    dealt = joined.withColumn("__part", F.pmod(F.xxhash64("__v", F.monotonically_increasing_id()), F.coalesce("__parts", F.lit(1)))).drop("__parts")
+    dealt = joined.withColumn("__part", F.pmod(F.xxhash64("__v"), F.coalesce("__parts", F.lit(1)))).drop("__parts")
     schema = StructType([*(rows.schema[k] for k in keys), StructField("d", DIGEST)])
 
     def build(table):
-        x = np.sort(table.column("__v").to_numpy())
-        m, w = cluster(x, np.ones(len(x), np.int64), size)
+        table = table.sort_by("__v")
+        x, n = table.column("__v").to_numpy(), table.column("__w").to_numpy()
+        m, w = cluster(x, n, size)
         c = [{"mean": a, "weight": b} for a, b in zip(m.tolist(), w.tolist())]
-        return _digest_table(keys, table, [{"size": size, "count": len(x), "sum": float(x.sum()), "min": float(x[0]), "max": float(x[-1]), "centroids": c}])
+        return _digest_table(keys, table, [{"size": size, "count": int(n.sum()), "sum": float((x * n).sum()), "min": float(x[0]), "max": float(x[-1]), "centroids": c}])
 
     digests = dealt.groupBy(*keys, "__part").applyInArrow(build, schema)
     return rollup_tdigest(digests, keys, "d", size, name)
@@ -208,7 +211,7 @@ def rollup_tdigest(df: DataFrame, keys: list[str], sketch: str, size: int, name:
     schema = StructType([*(rows.schema[k] for k in keys), StructField("d", DIGEST)])
 
     def merge(table):
-        d = table.column("d").to_pylist()
+        d = sorted(table.column("d").to_pylist(), key=repr)  # sums do not depend on how digests arrive
         if len(d) == 1:
             return _digest_table(keys, table, d)
         m = np.array([c["mean"] for x in d for c in x["centroids"]])

@@ -504,39 +504,61 @@ def heartbeat_rollup(spark, sf_dir):
 
 # ---------------------------------------------------------------- sketches
 _GAMMA = (1 + 0.05) / (1 - 0.05)
-_UDD = f"(SELECT event_type, CAST(ceil(ln(value) / ln({_GAMMA!r})) AS BIGINT) AS idx, count(*) AS n FROM events WHERE value > 0 GROUP BY ALL)"
+_UDD = f"(SELECT event_type, CAST(sign(value) AS INTEGER) AS sign, CASE WHEN value = 0 THEN 0 ELSE CAST(ceil(ln(abs(value)) / ln({_GAMMA!r})) AS BIGINT) END AS idx, count(*) AS n FROM (SELECT event_type, value - 5 AS value FROM events UNION ALL SELECT event_type, 0 FROM events WHERE value < 1) GROUP BY ALL)"
+
+
+def _signed(spark, sf_dir) -> DataFrame:
+    """Values of all signs: every event less five, and a zero for each small one."""
+    e = _events(spark, sf_dir)
+    return e.withColumn("value", F.col("value") - 5).unionByName(e.where("value < 1").withColumn("value", F.lit(0.0)))
 
 
 @query(f"SELECT * FROM {_UDD}")
 def udd_buckets(spark, sf_dir):
-    s = sketches.uddsketch(_events(spark, sf_dir).where("value > 0"), ["event_type"], "value", 1000, 0.05)
-    return s.select("event_type", F.explode("sketch.buckets").alias("b")).select("event_type", "b.idx", "b.n")
+    s = sketches.uddsketch(_signed(spark, sf_dir), ["event_type"], "value", 1000, 0.05)
+    return s.select("event_type", F.explode("sketch.buckets").alias("b")).select("event_type", "b.sign", "b.idx", "b.n")
 
 
 def _udd_percentile_sql(p: float) -> str:
-    return f"min(CASE WHEN seen >= least(CAST(floor(total * {p}) AS BIGINT) + 1, total) THEN idx END)"
+    return f"arg_min(round(sign * CASE WHEN sign = 0 THEN 0 ELSE pow({_GAMMA!r}, idx - 1) * 1.05 END, 6), seen) FILTER (WHERE seen >= least(CAST(floor(total * {p}) AS BIGINT) + 1, total))"
 
 
 @query(
-    f"""SELECT event_type, total AS n, {", ".join(f"round(pow({_GAMMA!r}, i{k} - 1) * 1.05, 6) AS p{k}" for k in (10, 50, 99))} FROM (
-    SELECT event_type, any_value(total) AS total, {", ".join(f"{_udd_percentile_sql(k / 100)} AS i{k}" for k in (10, 50, 99))} FROM (
-    SELECT *, CAST(sum(n) OVER (PARTITION BY event_type ORDER BY idx) AS BIGINT) AS seen, CAST(sum(n) OVER (PARTITION BY event_type) AS BIGINT) AS total FROM {_UDD}) GROUP BY event_type)"""
+    f"""SELECT event_type, n, p10, p50, p99 FROM (
+    SELECT event_type, any_value(total) AS n, {", ".join(f"{_udd_percentile_sql(k / 100)} AS p{k}" for k in (10, 50, 99))} FROM (
+    SELECT *, CAST(sum(n) OVER (PARTITION BY event_type ORDER BY sign, sign * idx) AS BIGINT) AS seen, CAST(sum(n) OVER (PARTITION BY event_type) AS BIGINT) AS total FROM {_UDD}) GROUP BY event_type)"""
 )
 def udd_percentiles(spark, sf_dir):
-    daily = sketches.uddsketch(_events(spark, sf_dir).where("value > 0").withColumn("b", F.to_date("ts")), ["event_type", "b"], "value", 1000, 0.05)
+    daily = sketches.uddsketch(_signed(spark, sf_dir).withColumn("b", F.to_date("ts")), ["event_type", "b"], "value", 1000, 0.05)
     s = sketches.rollup_uddsketch(daily, ["event_type"], "sketch", 1000, 0.05)
     return s.select("event_type", sketches.num_vals("sketch").alias("n"), *(r(sketches.udd_percentile("sketch", k / 100), 6).alias(f"p{k}") for k in (10, 50, 99)))
 
 
 @query(
-    f"""SELECT event_type, round(sum(CASE WHEN idx < c THEN n WHEN idx = c THEN n / 2.0 ELSE 0 END) / sum(n), 6) AS rank FROM (SELECT *, CAST(ceil(ln(50.0) / ln({_GAMMA!r})) AS BIGINT) AS c FROM {_UDD}) GROUP BY event_type"""
+    f"""SELECT event_type, round(sum(CASE WHEN sign < 1 OR idx < c THEN n WHEN idx = c THEN n / 2.0 ELSE 0 END) / sum(n), 6) AS rank FROM (SELECT *, CAST(ceil(ln(50.0) / ln({_GAMMA!r})) AS BIGINT) AS c FROM {_UDD}) GROUP BY event_type"""
 )
 def udd_percentile_rank(spark, sf_dir):
-    s = sketches.uddsketch(_events(spark, sf_dir).where("value > 0"), ["event_type"], "value", 1000, 0.05)
+    s = sketches.uddsketch(_signed(spark, sf_dir), ["event_type"], "value", 1000, 0.05)
     return s.select("event_type", r(sketches.udd_percentile_rank("sketch", 50.0), 6).alias("rank"))
 
 
-@query()
+def _compacted_sql(by: str, value: str, source: str, size: int, error: float, ps) -> str:
+    """Buckets are halved until no more than size are left; all values are positive."""
+    alphas = [error]
+    while len(alphas) < 12:
+        alphas.append(2 * alphas[-1] / (1 + alphas[-1] ** 2))
+    levels = ", ".join(f"({c}, {a!r}::DOUBLE, {(1 + a) / (1 - a)!r}::DOUBLE)" for c, a in enumerate(alphas))
+    gamma = (1 + error) / (1 - error)
+    want = lambda p: f"seen >= least(CAST(floor(total * {p}) AS BIGINT) + 1, total)"
+    return f"""WITH levels(c, alpha, gamma) AS (VALUES {levels}),
+    fine AS (SELECT {by}, CAST(ceil(ln({value}) / ln({gamma!r})) AS BIGINT) AS idx, count(*) AS n FROM {source} GROUP BY ALL),
+    coarse AS (SELECT {by}, c, alpha, gamma, CAST(ceil(idx / pow(2, c)) AS BIGINT) AS idx, sum(n) AS n FROM fine, levels GROUP BY ALL),
+    fitting AS (SELECT {by}, min(c) AS c FROM (SELECT {by}, c, count(*) AS held FROM coarse GROUP BY ALL) WHERE held <= {size} GROUP BY {by}),
+    seen AS (SELECT coarse.*, sum(n) OVER (PARTITION BY {by} ORDER BY idx) AS seen, sum(n) OVER (PARTITION BY {by}) AS total FROM coarse JOIN fitting USING ({by}, c))
+    SELECT {by}, {", ".join(f"round(arg_min(pow(gamma, idx - 1) * (1 + alpha), seen) FILTER (WHERE {want(p)}), 2) AS p{int(p * 100)}" for p in ps)}, any_value(alpha) AS error FROM seen GROUP BY {by}"""
+
+
+@query(_compacted_sql("l_returnflag", "l_extendedprice", "lineitem", 200, 0.001, (0.25, 0.5, 0.75)))
 def percentile_agg_default(spark, sf_dir):
     s = sketches.percentile_agg(tables.table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice")
     return s.select("l_returnflag", *(r(sketches.udd_percentile("sketch", p), 2).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75)), sketches.udd_error("sketch").alias("error"))
@@ -740,10 +762,10 @@ def calendar(spark, sf_dir):
 
 @query(
     """SELECT event_id, CAST(least(greatest(a + b, -2147483648), 2147483647) AS INTEGER) AS plus, CAST(least(greatest(a - b, -2147483648), 2147483647) AS INTEGER) AS minus, CAST(least(greatest(a + b, 0), 2147483647) AS INTEGER) AS plus_pos,
-    CAST(least(greatest(a - b, 0), 2147483647) AS INTEGER) AS minus_pos, CAST(least(greatest(a * b, -2147483648), 2147483647) AS INTEGER) AS times FROM (SELECT event_id, event_id * 900000 - 2000000000 AS a, (event_id % 7 - 3) * 700000000 AS b FROM events WHERE event_id < 4000)"""
+    CAST(least(greatest(a - b, 0), 2147483647) AS INTEGER) AS minus_pos, CAST(least(greatest(a * b, -2147483648), 2147483647) AS INTEGER) AS times FROM (SELECT event_id, event_id * 900001 % 4294967296 - 2147483648 AS a, (event_id % 7 - 3) * 700000000 AS b FROM events)"""
 )
 def saturating_math(spark, sf_dir):
-    e = _events(spark, sf_dir).where("event_id < 4000").select("event_id", (F.col("event_id") * 900000 - 2000000000).cast("int").alias("a"), ((F.col("event_id") % 7 - 3) * 700000000).cast("int").alias("b"))
+    e = _events(spark, sf_dir).select("event_id", (F.col("event_id") * 900001 % 4294967296 - 2147483648).cast("int").alias("a"), ((F.col("event_id") % 7 - 3) * 700000000).cast("int").alias("b"))
     t = times
     return e.select("event_id", *named(plus=t.saturating_add("a", "b"), minus=t.saturating_sub("a", "b"), plus_pos=t.saturating_add_pos("a", "b"), minus_pos=t.saturating_sub_pos("a", "b"), times=t.saturating_mul("a", "b")))
 
