@@ -49,6 +49,32 @@ def test_table_recall(spark):
     assert recall(got, want) > 0.95
 
 
+def test_cells_of_grouped_vectors_are_few_and_reach_the_neighbours(spark):
+    r = np.random.default_rng(3)
+    heads = r.normal(size=(40, 24)) * 3
+    v = heads[r.integers(0, 40, 12000)] + r.normal(size=(12000, 24)) * 0.4
+    v *= r.uniform(0.8, 1.25, (12000, 1))
+    rows = [(i, x) for i, x in enumerate(v.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    shards, plan = A.index(A.usable(df), 21, 400)
+    model, held, first, parts = plan[24]
+    assert shards.count() == parts.sum() >= 20 and held.sum() == 12000 and model.probes <= len(held) // 2
+    got = {}
+    for x in A.nearest(df, shard=400).collect():
+        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    want = exact(rows, 20, 20)
+    assert {q: len(x) for q, x in got.items()} == {q: 20 for q in want}
+    assert recall(got, want) > 0.9
+
+
+def test_small_cells_do_not_shorten_the_answer(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, x) for i, x in enumerate((r.normal(size=(3000, 4)) ** 5).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = A.nearest(df, shard=40).groupBy("query_id").count().collect()
+    assert len(got) == 150 and all(x["count"] == 20 for x in got)
+
+
 def test_copies_ties_and_odd_rows(spark):
     r = np.random.default_rng(2)
     nan, inf = float("nan"), float("inf")

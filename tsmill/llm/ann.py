@@ -1,22 +1,29 @@
 """Approximate nearest neighbours: one hierarchical navigable small-world graph per shard, kept as flat arrays.
 
 Equal vectors are one node, with their smallest ids, so that copies neither crowd a neighbourhood nor cost anything.
-Nodes are dealt to shards of about SHARD by a hash. A shard's levels are nested: level l holds its first n / FANOUT^l
-nodes, and each level is one (nodes, places) array of neighbour numbers, -1 where none. Inner product is made a
-metric by one more component that gives all nodes the same length. Each block of queries is searched in each shard and
-the shards' answers are merged; scores are inner products of the original vectors in double precision.
+Nodes lie in cells around centroids, which are fitted on a bounded sample; a cell is one shard, or several where it is
+large. A shard's levels are nested: level l holds its first n / FANOUT^l nodes, and each level is one (nodes, places)
+array of neighbour numbers, -1 where none. Inner product is made a metric by one more component that gives all nodes
+the same length. A query is searched in the shards of the cells nearest to it, as many as hold REACH of the neighbours
+within the sample, and the shards' answers are merged; scores are inner products of the original vectors in double
+precision. Vectors without any structure need most of the cells, others a few.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsmill.llm.common import cut
+from tsmill.llm.common import cut, drop_cut
 
-SHARD, BLOCK = 8192, 4096
+# shards: SHARD nodes, beyond SHARDS of these larger ones, up to VALUES components
+SHARD, SHARDS, VALUES, BLOCK = 16384, 64, 1 << 23, 8192
+# cells: at most CELLS for each length of vectors, from at most SAMPLE components; REACH of the neighbours are in probed cells
+CELLS, SAMPLE, REACH, ASKED = 1024, 1 << 22, 0.97, 512
 FANOUT, PLACES, EF_BUILD, EF_SEARCH = 16, 24, 128, 320
 BATCH, EXPAND = 256, 4
 
@@ -183,6 +190,64 @@ def search(vectors: np.ndarray, levels: list[np.ndarray], queries: np.ndarray, m
     return out
 
 
+# ---------------------------------------------------------------- cells
+class Cells(NamedTuple):
+    """Centroids of one length of vectors, how many cells a query visits and the longest vector."""
+
+    centroids: np.ndarray
+    probes: int
+    longest: float
+
+
+def lifted(v: np.ndarray, longest: float) -> np.ndarray:
+    """Vectors of length 1 that keep the order of inner products."""
+    u = v / longest
+    rest = np.sqrt(np.maximum(1 - (u * u).sum(axis=1), 0))
+    return np.concatenate([u, rest[:, None]], axis=1).astype(np.float32)
+
+
+def cell_of(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.concatenate([(x[s : s + 4096] @ centroids.T).argmax(axis=1) for s in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
+
+
+def cell_order(q: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """(queries, cells): cells by the inner product of query and centroid, best first."""
+    scale = np.maximum(np.abs(q).max(axis=1, keepdims=True, initial=0), 1e-300)
+    return np.argsort(-((q / scale).astype(np.float32) @ centroids[:, :-1].T), axis=1, kind="stable")
+
+
+def fit_cells(v: np.ndarray, cells: int, longest: float, near: int, rounds: int = 10) -> Cells:
+    """Spherical k-means of a sample in random order, and the fewest probes that reach REACH of the `near` nearest
+    neighbours which ASKED vectors of the sample have within it."""
+    x = lifted(v, longest)
+    c = x[:cells].copy()
+    for _ in range(rounds):
+        own = cell_of(x, c)
+        order = np.argsort(own, kind="stable")
+        filled, start = np.unique(own[order], return_index=True)
+        total = np.add.reduceat(x[order], start, axis=0)
+        c[filled] = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-30)
+    own, q = cell_of(x, c), v[:ASKED]
+    place = np.argsort(cell_order(q, c), axis=1)
+    ranks = []
+    for i in range(len(q)):
+        sims = x[:, :-1] @ (q[i] / longest).astype(np.float32)
+        sims[i] = -np.inf
+        ranks.append(place[i, own[np.argpartition(-sims, near - 1)[:near]]])
+    share = np.cumsum(np.bincount(np.concatenate(ranks), minlength=cells)) / (len(q) * near)
+    return Cells(c, int(np.searchsorted(share, REACH)) + 1, longest)
+
+
+def _groups(batch: pa.RecordBatch):
+    """(length, row numbers, vectors) for each length of vectors in a batch with a column v."""
+    v = batch.column("v")
+    starts = v.offsets.to_numpy()
+    flat, lengths = v.values.to_numpy(zero_copy_only=False), np.diff(starts)
+    for dim in np.unique(lengths):
+        rows = np.flatnonzero(lengths == dim)
+        yield int(dim), rows, flat[starts[rows, None] + np.arange(dim)]
+
+
 # ---------------------------------------------------------------- tables
 def usable(table: DataFrame, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Distinct (id, v: array<double>) of rows whose vector is neither null, empty, zero nor holds a null or non-finite component."""
@@ -191,16 +256,58 @@ def usable(table: DataFrame, ident: str = "vec_id", vector: str = "embedding") -
     return table.select(F.col(ident).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null").where(finite & F.exists("v", lambda c: c != 0)).distinct()
 
 
-def index(rows: DataFrame, most: int, shard: int = SHARD) -> DataFrame:
-    """One row for each shard: its vectors, level arrays and, for each node, its `most` smallest ids."""
+def fit(nodes: DataFrame, k: int, shard: int | None) -> tuple[dict[int, Cells], dict[int, int]]:
+    """Cells and nodes a shard, by length of vectors. A sample of SAMPLE components at most of each length reaches the driver."""
+    most = F.array_max(F.transform("v", F.abs))
+    squares = F.aggregate("v", F.lit(0.0), lambda acc, c: acc + (c / most) * (c / most))
+    stats = nodes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.least(most * F.sqrt(squares), F.lit(1.7e308))).alias("longest")).collect()
+    models, sizes = {}, {}
+    for dim, n, longest in stats:
+        sizes[dim] = shard or min(max(SHARD // 8, VALUES // dim), max(SHARD, n // SHARDS))
+        rows = min(n, max(1024, SAMPLE // dim))
+        cells = max(1, min(CELLS, round(n / sizes[dim]), rows // 32))
+        if cells == 1:
+            models[dim] = Cells(np.zeros((1, dim + 1), np.float32), 1, longest)
+            continue
+        some = nodes.select("v", "h").where(F.size("v") == dim).where(F.pmod("h", F.lit(1 << 30)) < int(min(1, 1.2 * rows / n) * (1 << 30)))
+        sample = some.orderBy("h").limit(rows).select("v").toArrow().column("v").combine_chunks()
+        v = sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        models[dim] = fit_cells(v, cells, longest, min(len(v) - 1, max(1, round(k * len(v) / n))))
+    return models, sizes
+
+
+def index(rows: DataFrame, most: int, shard: int | None = None) -> tuple[DataFrame, dict[int, tuple[Cells, np.ndarray, np.ndarray, np.ndarray]]]:
+    """One row for each shard: its vectors, level arrays and, for each node, its `most` smallest ids. With it, for each
+    length of vectors, the cells and each cell's nodes, first shard and number of shards."""
     order = Window.partitionBy("v").orderBy("id")
     few = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)  # the rest of a class can never rank
-    nodes = cut(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "nodes")
-    count = {r["dim"]: r["n"] for r in nodes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}
-    shards = F.lit(1)
-    for dim, n in count.items():
-        shards = F.when(F.size("v") == dim, F.lit(-(-n // shard))).otherwise(shards)
-    dealt = nodes.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("v"), shards).cast("int").alias("shard"), "v", "ids", F.xxhash64(F.lit("order"), "v").alias("h"))
+    nodes = cut(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("h", F.xxhash64(F.lit("order"), "v")), "nodes")
+    models, sizes = fit(nodes, most - 1, shard)
+
+    def place(batches):
+        for batch in batches:
+            cell = np.zeros(batch.num_rows, np.int32)
+            for dim, at, v in _groups(batch):
+                model = models[dim]
+                if len(model.centroids) > 1:
+                    cell[at] = cell_of(lifted(v, model.longest), model.centroids)
+            yield batch.append_column("cell", pa.array(cell))
+
+    placed = cut(nodes.mapInArrow(place, "v array<double>, ids array<long>, h long, cell int"), "placed")
+    found = placed.groupBy(F.size("v").alias("dim"), "cell").agg(F.count("*").alias("n")).collect()  # CELLS a length at most
+    plan, table = {}, []
+    for dim, model in models.items():
+        held = np.zeros(len(model.centroids), np.int64)
+        for r in found:
+            if r["dim"] == dim:
+                held[r["cell"]] = r["n"]
+        parts = np.where(held > 0, np.maximum(1, np.round(held / sizes[dim])), 0).astype(np.int64)
+        first = np.cumsum(parts) - parts
+        plan[dim] = (model, held, first, parts)
+        table += [(dim, i, int(first[i]), int(parts[i])) for i in range(len(held)) if parts[i]]
+    shards = F.broadcast(rows.sparkSession.createDataFrame(table, "dim int, cell int, first int, parts int"))
+    dealt = placed.withColumn("dim", F.size("v")).join(shards, ["dim", "cell"])
+    dealt = dealt.select("dim", (F.col("first") + F.pmod("h", "parts").cast("int")).alias("shard"), "v", "ids", "h")
 
     def make(key, table):
         dim = key[0].as_py()
@@ -219,25 +326,52 @@ def index(rows: DataFrame, most: int, shard: int = SHARD) -> DataFrame:
             "ids": pa.array([ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()),
         })
 
-    return dealt.groupBy("dim", "shard").applyInArrow(make, "dim int, shard int, vectors binary, widths array<int>, levels array<binary>, lengths binary, ids binary")
-
-
-def nearest(table: DataFrame, k: int = 20, modulus: int = 20, ident: str = "vec_id", vector: str = "embedding", shard: int = SHARD, ef: int = EF_SEARCH) -> DataFrame:
+    made = dealt.groupBy("dim", "shard").applyInArrow(make, "dim int, shard int, vectors binary, widths array<int>, levels array<binary>, lengths binary, ids binary")
+    out = cut(made, "index")
+    drop_cut(nodes)
+    drop_cut(placed)
+    return out, plan
+
+
+def routed(asked: DataFrame, plan: dict, least: int) -> DataFrame:
+    """asked (id, v) once for each shard to be searched: those of the nearest cells, which hold `least` nodes or all."""
+
+    def visit(batches):
+        for batch in batches:
+            rows, shards = [], []
+            for dim, at, v in _groups(batch):
+                model, held, first, parts = plan[dim]
+                order = cell_order(v, model.centroids)
+                before = np.cumsum(held[order], axis=1) - held[order]
+                go = (np.arange(order.shape[1]) < model.probes) | (before < least)
+                i, j = np.nonzero(go)
+                cell = order[i, j]
+                many = parts[cell]
+                rows.append(np.repeat(at[i], many))
+                within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                shards.append(np.repeat(first[cell], many) + within)
+            if rows:
+                yield batch.take(pa.array(np.concatenate(rows))).append_column("shard", pa.array(np.concatenate(shards).astype(np.int32)))
+
+    return asked.select("id", "v").mapInArrow(visit, "id long, v array<double>, shard int")
+
+
+def nearest(table: DataFrame, k: int = 20, modulus: int = 20, ident: str = "vec_id", vector: str = "embedding", shard: int | None = None, ef: int = EF_SEARCH) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by modulus, the k nearest other rows found.
 
     Only vectors of equal length are compared. Rows that repeat both id and vector are one; an id with several vectors
     is several candidates and several queries, none of which finds its own id. Rows with a null id or an unusable vector
-    take no part. Ties in score go to the smaller id.
+    take no part. Ties in score go to the smaller id. Only the columns of ids and vectors are read, so others may have
+    any name. An empty table gives no rows. shard: nodes a shard, None for the rule of this module.
     """
     rows = cut(usable(table, ident, vector), "vectors")
-    shards = cut(index(rows, k + 1, shard), "index")
-    asked = rows.where(F.col("id") % modulus == 0)
-    blocks = max(1, -(-asked.count() // BLOCK))
-    per_dim = shards.groupBy("dim").agg(F.max("shard").alias("last"))  # a row for each length of vectors
-    asked = asked.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("v", "id"), F.lit(blocks)).cast("int").alias("block"))
-    asked = asked.join(per_dim, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), "last"))).select("dim", "shard", "block", "id", "v", F.xxhash64("v").alias("qh"))
-    spread_out = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    shards, plan = index(rows, k + 1, shard)
+    asked = routed(rows.where(F.col("id") % modulus == 0), plan, 2 * (k + 1))
+    asked = asked.select(F.size("v").alias("dim"), "shard", "id", "v", F.xxhash64("v").alias("qh"))
+    loads = asked.groupBy("dim", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     key = ["dim", "shard", "block"]
+    spread_out = shards.join(loads, ["dim", "shard"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    asked = asked.join(loads, ["dim", "shard"]).withColumn("block", F.pmod(F.xxhash64("v", "id"), "blocks").cast("int")).drop("blocks")
 
     def find(key, left, right):
         none = pa.table({"query_id": pa.array([], pa.int64()), "qh": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
