@@ -258,9 +258,16 @@ def usable(table: DataFrame, ident: str = "vec_id", vector: str = "embedding") -
 
 def fit(nodes: DataFrame, k: int, shard: int | None) -> tuple[dict[int, Cells], dict[int, int]]:
     """Cells and nodes a shard, by length of vectors. A sample of SAMPLE components at most of each length reaches the driver."""
-    most = F.array_max(F.transform("v", F.abs))
-    squares = F.aggregate("v", F.lit(0.0), lambda acc, c: acc + (c / most) * (c / most))
-    stats = nodes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.least(most * F.sqrt(squares), F.lit(1.7e308))).alias("longest")).collect()
+
+    def measure(batches):
+        for batch in batches:
+            for dim, at, v in _groups(batch):
+                most = np.abs(v).max(axis=1)
+                longest = (most * np.sqrt(((v / most[:, None]) ** 2).sum(axis=1))).max()
+                yield pa.record_batch([pa.array([dim], pa.int32()), pa.array([len(at)], pa.int64()), pa.array([min(longest, 1.7e308)])], ["dim", "n", "longest"])
+
+    parts = nodes.select("v").mapInArrow(measure, "dim int, n long, longest double")
+    stats = parts.groupBy("dim").agg(F.sum("n").alias("n"), F.max("longest").alias("longest")).collect()
     models, sizes = {}, {}
     for dim, n, longest in stats:
         sizes[dim] = shard or min(max(SHARD // 8, VALUES // dim), max(SHARD, n // SHARDS))
