@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tsmill.functions import metrics, stats
-from tsmill.functions.base import INF, NAN, ColumnLike, col, ieee_div, let, need
+from tsmill.functions.base import INF, NAN, ColumnLike, col, ieee_div, let, need, let2
 from tsmill.functions.metrics import POINT, points_of
 from tsmill.functions.state import _prev
 from tsmill.functions.times import flat_micros, micros
@@ -64,23 +64,20 @@ def to_text(vector: ColumnLike, template: str) -> Column:
 def asof(left: ColumnLike, right: ColumnLike) -> Column:
     """array<struct<value1, value2, time>>: for each point of right the last value of left at or before it.
 
-    Meant for vectors of some thousands of points, as each step copies what has been found so far; operators.asof
-    joins tables of any size.
+    Each point of right is looked up in the sorted left vector by bisection. operators.asof joins tables of any size.
     """
-    a = F.transform(col(left), lambda p: F.struct(p["ts"].alias("ts"), F.lit(0).alias("side"), p["val"].alias("val")))
-    b = F.transform(col(right), lambda p: F.struct(p["ts"].alias("ts"), F.lit(1).alias("side"), p["val"].alias("val")))
-    both = F.array_sort(F.concat(a, b))
-    row = "struct<value1: double, value2: double, time: long>"
-    zero = F.struct(F.lit(None).cast("double").alias("v"), F.array().cast(f"array<{row}>").alias("out"))
-    folded = F.aggregate(
-        both,
-        zero,
-        lambda acc, p: F.struct(
-            F.when(p["side"] == 0, p["val"]).otherwise(acc["v"]).alias("v"),
-            F.when(p["side"] == 1, F.concat(acc["out"], F.array(F.struct(acc["v"].alias("value1"), p["val"].alias("value2"), p["ts"].alias("time")).cast(row)))).otherwise(acc["out"]).alias("out"),
-        ),
-    )
-    rows = F.transform(folded["out"], lambda r: F.struct(r["value1"].alias("value1"), r["value2"].alias("value2"), F.timestamp_micros(r["time"]).alias("time")))
+    of = lambda v: F.array_sort(F.transform(v, lambda p: F.struct(p["ts"].alias("ts"), p["val"].alias("val"))))
+
+    def before(a: Column, at: Column) -> Column:
+        """How many points of a are not later than `at`, one binary digit after the other."""
+        digits = F.array(*(F.lit(1 << b) for b in range(30, -1, -1)))
+        late = lambda n: F.get(a, n - 1)["ts"] > at
+        return F.aggregate(digits, F.lit(0), lambda n, d: F.when((F.size(a) - n >= d) & ~F.coalesce(late(n + d), F.lit(False)), n + d).otherwise(n))
+
+    def find(a: Column, b: Column) -> Column:
+        return F.transform(b, lambda p: F.struct(F.get(a, before(a, p["ts"]) - 1)["val"].alias("value1"), p["val"].alias("value2"), F.timestamp_micros(p["ts"]).alias("time")))
+
+    rows = let2(of(col(left)), of(col(right)), find)
     empty = (F.size(col(left)) == 0) | (F.size(col(right)) == 0)
     return F.when(empty, F.transform(F.array(F.raise_error(F.lit("both time vectors need points"))), lambda _: F.get(rows, F.lit(0)))).otherwise(rows)
 
@@ -352,8 +349,12 @@ def percentile_agg(size: int = 200, max_error: float = 0.001) -> Pipeline:
         def finish(r: Column) -> Column:
             level = r["c"]
             small = F.transform(r["k"], lambda b: F.struct(b["sign"].alias("sign"), sketches._compacted(b["idx"], level).alias("idx")))
-            order = lambda a, b: F.when(a["sign"] != b["sign"], a["sign"] - b["sign"]).when(a["sign"] * a["idx"] < b["sign"] * b["idx"], -1).when(a["sign"] * a["idx"] > b["sign"] * b["idx"], 1).otherwise(0)
-            buckets = let(small, lambda k: F.transform(F.array_sort(F.array_distinct(k), order), lambda b: F.struct(b["sign"].alias("sign"), b["idx"].alias("idx"), F.size(F.filter(k, lambda x: x == b)).cast("long").alias("n"))))
+            # in order, so that each bucket is a run: counted from where it begins to where the next one does
+            ranked = F.array_sort(F.transform(small, lambda b: F.struct(b["sign"].alias("sign"), (b["sign"] * b["idx"]).alias("at"))))
+            begins = lambda k: F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda i: (i == 0) | (F.get(k, i - 1) != F.get(k, i)))
+            count = lambda k, at, i, j: F.coalesce(F.get(at, j + 1), F.size(k)) - i
+            bucket = lambda k, at, i, j: F.struct(F.get(k, i)["sign"].alias("sign"), (F.get(k, i)["sign"] * F.get(k, i)["at"]).alias("idx"), count(k, at, i, j).cast("long").alias("n"))
+            buckets = let(ranked, lambda k: let(begins(k), lambda at: F.transform(at, lambda i, j: bucket(k, at, i, j))))
             total = F.aggregate(r["v"], F.lit(0.0), lambda a, p: a + F.coalesce(p["val"], F.lit(0.0)))
             return F.when(F.size(r["k"]) > 0, F.struct(sketches._alpha(max_error, level).alias("alpha"), F.lit(float(max_error)).alias("error"), F.lit(size).alias("size"), level.cast("int").alias("compactions"), F.size(r["k"]).cast("long").alias("count"), total.alias("sum"), buckets.alias("buckets")))
 

@@ -487,14 +487,14 @@ def count_min_sketch(df: DataFrame, keys: list[str], value: str, error: float, p
     return _by(counts, keys).agg(sketch.alias(name))
 
 
-def _cell(v: Column, row: int, width: int | Column) -> Column:
+def _cell(v: Column, row: int | Column, width: int | Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(row), v), width if isinstance(width, Column) else F.lit(width)) + F.lit(row) * width
 
 
-def approx_count(item, s: ColumnLike, depth: int = 30) -> Column:
-    """Estimated number of times that item was counted; depth: the most rows that a sketch may have."""
+def approx_count(item, s: ColumnLike) -> Column:
+    """Estimated number of times that item was counted, over all rows of the sketch."""
     s = col(s)
     v = (item if isinstance(item, Column) else F.lit(item)).cast("string")
-    each = [F.when(F.lit(i) < s["depth"], F.coalesce(F.try_element_at(s["cells"], _cell(v, i, s["width"]).cast("long")), F.lit(0).cast("long"))) for i in range(depth)]
-    return F.least(*each)
+    held = lambda i: F.coalesce(F.try_element_at(s["cells"], _cell(v, i, s["width"]).cast("long")), F.lit(0).cast("long"))
+    return F.array_min(F.transform(F.sequence(F.lit(0), s["depth"] - 1), held))
 

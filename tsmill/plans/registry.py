@@ -103,6 +103,17 @@ def stats2d_regression(spark, sf_dir):
     )
 
 
+@query(
+    f"""SELECT event_type, count(*) AS n, round(regr_slope(v, x), 8) AS slope, round(corr(v, x), 6) AS corr, round(stddev_pop(v), 4) AS sd_y, round(avg(x), 3) AS mean_x
+    FROM (SELECT event_type, v, (t / 1e6 - {times.EPOCH_2000}) / 3600 AS x FROM {E}) GROUP BY event_type"""
+)
+def stats2d_rollup_daily(spark, sf_dir):
+    e = _events(spark, sf_dir).withColumn("x", times.seconds_2000(times.micros("ts")) / 3600)
+    daily = e.groupBy("event_type", times.time_bucket("1 day", "ts").alias("b")).agg(stats.stats_agg("value", "x").alias("s"))
+    s = daily.groupBy("event_type").agg(stats.rollup_2d("s").alias("s"))
+    return s.select("event_type", *named(n=stats.num_vals("s"), slope=r(stats.slope("s"), 8), corr=r(stats.corr("s"), 6), sd_y=r(stats.stddev_y("s", "pop")), mean_x=r(stats.average_x("s"), 3)))
+
+
 @query(
     f"""SELECT user_id, event_id, count(*) OVER w AS n, round(avg(v) OVER w, 7) AS average, round(coalesce(stddev_pop(v) OVER w, 0), 6) AS stddev
     FROM {E} WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN {WEEK} PRECEDING AND CURRENT ROW)"""
@@ -205,12 +216,14 @@ def _around(frame: DataFrame) -> DataFrame:
     return frame.select("*", F.lag("summary").over(w).alias("before"), F.lead("summary").over(w).alias("after"))
 
 
-def _interpolated_sql(drop: bool) -> str:
-    """Change over each week, points at its ends being put on lines to the neighbouring weeks' nearest points."""
+def _interpolated_sql(drop: bool, rate: bool = False) -> str:
+    """Change (or change a second) over each week, points at its ends being put on lines to the neighbouring weeks' nearest points."""
     a = "CASE WHEN {a} > {b} THEN 0 ELSE {a} END" if drop else "{a}"
     left, right = a.format(a="pl", b="f"), a.format(a="l", b="nf")
     up = lambda a, b: f"CASE WHEN {b} < {a} THEN {b} ELSE {b} - {a} END" if drop else f"({b} - {a})"
-    return f"""SELECT user_id, b, round(d + coalesce(CASE WHEN pl IS NOT NULL THEN {up('lv', 'f')} END, 0) + coalesce(CASE WHEN nf IS NOT NULL THEN {up('l', 'rv')} END, 0), 4) AS delta FROM (
+    delta = f"(d + coalesce(CASE WHEN pl IS NOT NULL THEN {up('lv', 'f')} END, 0) + coalesce(CASE WHEN nf IS NOT NULL THEN {up('l', 'rv')} END, 0))"
+    span = f"(CASE WHEN nf IS NOT NULL THEN b + {WEEK} ELSE lt END - CASE WHEN pl IS NOT NULL THEN b ELSE ft END)"
+    return f"""SELECT user_id, b, {f"round({delta} / nullif({span} / 1e6, 0), 9) AS rate" if rate else f"round({delta}, 4) AS delta"} FROM (
     SELECT *, {left} + (f - {left}) * (b - plt) / CAST(ft - plt AS DOUBLE) AS lv, {right} + (nf - {right}) * (b + {WEEK} - lt) / CAST(nft - lt AS DOUBLE) AS rv FROM (
     SELECT *, lag(l) OVER u AS pl, lag(lt) OVER u AS plt, lead(f) OVER u AS nf, lead(ft) OVER u AS nft FROM (
     SELECT user_id, b, max(CASE WHEN nt IS NULL THEN {'y' if drop else 'v'} END) - max(CASE WHEN pt IS NULL THEN v END) AS d, max(CASE WHEN pt IS NULL THEN v END) AS f, max(CASE WHEN nt IS NULL THEN v END) AS l,
@@ -229,6 +242,12 @@ def gauge_interpolated(spark, sf_dir):
     return s.select("user_id", "b", r(metrics.gauge_interpolated_delta("summary", F.col("b"), "1 week", "before", "after")).alias("delta")).withColumn("b", us("b"))
 
 
+@query(_interpolated_sql(True, rate=True))
+def counter_interpolated_rate(spark, sf_dir):
+    s = _around(series.counter_agg(_weeks(spark, sf_dir), ["user_id", "b"], "ts", "value"))
+    return s.select("user_id", "b", r(metrics.interpolated_rate("summary", F.col("b"), "1 week", "before", "after"), 9).alias("rate")).withColumn("b", us("b"))
+
+
 @query(
     f"""SELECT event_type, count(*) AS n, count(CASE WHEN v <> pv THEN 1 END) AS num_changes, round(max(CASE WHEN nt IS NULL THEN v END) - max(CASE WHEN pt IS NULL THEN v END), 4) AS delta,
     round(regr_slope(v, x) * 1e6, 3) AS slope, round(max(CASE WHEN nt IS NULL THEN v END) - max(CASE WHEN nt IS NULL THEN CASE WHEN v >= pv THEN pv ELSE 0 END END), 4) AS idelta_right FROM {adjusted("event_type")} GROUP BY event_type"""
@@ -278,21 +297,33 @@ def twa_rollup(spark, sf_dir):
     return s.select("user_id", *_weight_columns())
 
 
-@query(
-    f"""SELECT user_id, b, round((w + CASE WHEN pl IS NOT NULL AND b < ft THEN (lv + f) / 2 * (ft - b) ELSE 0 END + CASE WHEN nf IS NOT NULL THEN (l + rv) / 2 * (b + {WEEK} - lt) ELSE 0 END)
-    / ((CASE WHEN nf IS NOT NULL THEN b + {WEEK} ELSE lt END) - (CASE WHEN pl IS NOT NULL THEN b ELSE ft END)), 5) AS average FROM (
+_STRETCHED = f"(w + CASE WHEN pl IS NOT NULL AND b < ft THEN (lv + f) / 2 * (ft - b) ELSE 0 END + CASE WHEN nf IS NOT NULL THEN (l + rv) / 2 * (b + {WEEK} - lt) ELSE 0 END)"
+
+
+def _stretched_sql(answer: str) -> str:
+    return f"""SELECT user_id, b, {answer} FROM (
     SELECT *, pl + (f - pl) * (b - plt) / CAST(ft - plt AS DOUBLE) AS lv, l + (nf - l) * (b + {WEEK} - lt) / CAST(nft - lt AS DOUBLE) AS rv FROM (
     SELECT *, lag(l) OVER u AS pl, lag(lt) OVER u AS plt, lead(f) OVER u AS nf, lead(ft) OVER u AS nft FROM (
     SELECT user_id, b, coalesce(sum({LINEAR}), 0) AS w, max(CASE WHEN pt IS NULL THEN v END) AS f, max(CASE WHEN nt IS NULL THEN v END) AS l, min(t) AS ft, max(t) AS lt
     FROM {neighbours("user_id, b", f"(SELECT *, {WEEKS} AS b FROM {E} AS e2)")} GROUP BY user_id, b) WINDOW u AS (PARTITION BY user_id ORDER BY b)))
     WHERE (CASE WHEN nf IS NOT NULL THEN b + {WEEK} ELSE lt END) <> (CASE WHEN pl IS NOT NULL THEN b ELSE ft END)"""
-)
+
+
+@query(_stretched_sql(f"round({_STRETCHED} / ((CASE WHEN nf IS NOT NULL THEN b + {WEEK} ELSE lt END) - (CASE WHEN pl IS NOT NULL THEN b ELSE ft END)), 5) AS average"))
 def twa_interpolated(spark, sf_dir):
     s = _around(series.time_weight(_weeks(spark, sf_dir), ["user_id", "b"], "linear", "ts", "value"))
     out = s.select("user_id", "b", r(timeweight.interpolated_average("summary", F.col("b"), "1 week", F.col("before"), F.col("after")), 5).alias("average"))
     return out.where("average is not null").withColumn("b", us("b"))
 
 
+@query(_stretched_sql(f"round({_STRETCHED} / 1e6, 2) AS integral"))
+def twa_interpolated_integral(spark, sf_dir):
+    s = _around(series.time_weight(_weeks(spark, sf_dir), ["user_id", "b"], "linear", "ts", "value"))
+    around = ("summary", F.col("b"), "1 week", F.col("before"), F.col("after"))
+    out = s.where(timeweight.interpolated_average(*around).isNotNull()).select("user_id", "b", r(timeweight.interpolated_integral(*around), 2).alias("integral"))
+    return out.withColumn("b", us("b"))
+
+
 @query(f"SELECT user_id, round(max(CASE WHEN pt IS NULL THEN v END), 4) AS first_val, round(max(CASE WHEN nt IS NULL THEN v END), 4) AS last_val, min(t) AS first_time, max(t) AS last_time FROM {neighbours('user_id')} GROUP BY user_id")
 def twa_ends(spark, sf_dir):
     w, s = timeweight, "summary"
@@ -581,11 +612,31 @@ def hll_against_exact(spark, sf_dir):
     return exact.join(s, "l_returnflag").select("l_returnflag", "parts", near.alias("near"))
 
 
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, TRUE AS near FROM lineitem GROUP BY l_returnflag")
+def hll_rollup(spark, sf_dir):
+    """As hll_against_exact, for sketches of the ship years rolled up."""
+    li = tables.table(spark, sf_dir, "lineitem")
+    yearly = sketches.approx_count_distinct(li.withColumn("y", F.year("l_shipdate")), ["l_returnflag", "y"], "l_partkey")
+    s = sketches.rollup_hyperloglog(yearly, ["l_returnflag"], "sketch")
+    exact = li.groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("parts"))
+    near = F.abs(sketches.distinct_count("sketch") - F.col("parts")) <= F.greatest(5 * sketches.stderror("sketch") * F.col("parts"), F.lit(1.0))
+    return exact.join(s, "l_returnflag").select("l_returnflag", "parts", near.alias("near"))
+
+
 @query("SELECT event_type, user_id, CAST(rn AS BIGINT) AS rn, n FROM (SELECT event_type, user_id, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) AS rn FROM events GROUP BY event_type, user_id) WHERE rn <= 3")
 def mcv_top3(spark, sf_dir):
     s = sketches.mcv_agg(_events(spark, sf_dir), ["event_type"], "user_id", 3)
-    top = F.posexplode(F.slice("sketch.entries", 1, 3)).alias("p", "e")
-    return s.select("event_type", top).select("event_type", F.col("e.value").alias("user_id"), (F.col("p") + 1).cast("long").alias("rn"), F.col("e.count").alias("n"))
+    top = s.select("event_type", "sketch", F.posexplode(sketches.topn_array("sketch")).alias("p", "user_id"))
+    count = F.round(sketches.max_frequency("sketch", F.col("user_id")) * F.col("sketch.n")).cast("long")
+    return top.select("event_type", "user_id", (F.col("p") + 1).cast("long").alias("rn"), count.alias("n"))
+
+
+@query("SELECT event_type AS value, n, CAST(rn AS BIGINT) AS rn FROM (SELECT event_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type) AS rn FROM events GROUP BY event_type) WHERE rn <= 3")
+def mcv_rollup_daily(spark, sf_dir):
+    daily = sketches.mcv_agg(_events(spark, sf_dir).withColumn("d", F.to_date("ts")), ["d"], "event_type", 3)
+    top = sketches.rollup_freq(daily, [], "sketch").select("sketch", F.posexplode(sketches.topn_array("sketch")).alias("p", "value"))
+    count = F.round(sketches.max_frequency("sketch", F.col("value")) * F.col("sketch.n")).cast("long")
+    return top.select("value", count.alias("n"), (F.col("p") + 1).cast("long").alias("rn"))
 
 
 @query("SELECT l_returnflag, l_linestatus AS value, round(n / total, 6) AS max_freq FROM (SELECT l_returnflag, l_linestatus, count(*) AS n, sum(count(*)) OVER (PARTITION BY l_returnflag) AS total FROM lineitem GROUP BY l_returnflag, l_linestatus) WHERE n / total >= 0.05")
