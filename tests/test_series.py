@@ -136,6 +136,28 @@ def test_asof_of_vectors(spark):
     assert [tuple(r)[:2] for r in first(df.select(tv.asof("a", "b")))] == [(None, 5.0), (2.0, 6.0), (2.0, 7.0)]
 
 
+def test_asof_of_long_vectors_with_ties(spark):
+    r = np.random.default_rng(5)
+    points = lambda n, most: [(int(t), float(v)) for t, v in zip(r.integers(0, most, n), r.normal(size=n))]
+    kind = "a array<struct<ts: long, val: double>>, b array<struct<ts: long, val: double>>"
+    pairs = [(points(n, most), points(m, most)) for n, m, most in ((1, 1, 3), (7, 5, 4), (1025, 300, 700), (6000, 6000, 9000))]
+    got = spark.createDataFrame(pairs, kind).select(tv.asof("a", "b").alias("out")).collect()
+    for (a, b), row in zip(pairs, got):
+        a.sort()
+        times = [t for t, _ in a]
+        want = [(a[i - 1][1] if (i := int(np.searchsorted(times, t, "right"))) else None, v) for t, v in sorted(b)]
+        assert [(x.value1, x.value2) for x in row.out] == want
+
+
+def test_percentile_element_is_the_grouped_sketch(spark):
+    r = np.random.default_rng(6)
+    rows = [(k, i, float(v)) for k in range(3) for i, v in enumerate(np.concatenate([r.normal(size=400) * 50, np.zeros(9), r.lognormal(0, 4, 300)]))]
+    df = spark.createDataFrame(rows, "k int, t long, val double")
+    vector = df.groupBy("k").agg(F.collect_list(F.struct(F.col("t").alias("ts"), "val")).alias("v")).withColumn("sketch", F.col("v") >> tv.percentile_agg(60, 0.01))
+    for x in vector.join(sketches.uddsketch(df, ["k"], "val", 60, 0.01, "other"), "k").collect():
+        assert x.sketch.buckets == x.other.buckets and x.sketch["count"] == 709 and x.sketch.compactions == x.other.compactions > 0
+
+
 def test_expressions(spark):
     one = spark.range(1)
     run = lambda f, text, x=2.0: first(one.select(f(text, T("2020-01-01"), x)))

@@ -120,6 +120,10 @@ def test_count_min(spark):
     s = K.count_min_sketch(df, [], "v", 0.01, 0.01)
     got = [s.select(K.approx_count(x, "sketch")).first()[0] for x in ("1", "49", "50", "99", "none")]
     assert got[0] >= 2 and got[1] >= 2 and got[2] >= 1 and got[3] >= 1 and all(g <= 4 for g in got)
+    deep = K.count_min_sketch(df, [], "v", 0.5, 1e-15)  # 35 rows of 6 cells: the least is taken over all of them
+    cells = first(deep)
+    want = min(cells.cells[c] for c in (spark.range(1).select(K._cell(F.lit("7"), i, cells.width)).first()[0] for i in range(cells.depth)))
+    assert cells.depth == 35 and deep.select(K.approx_count("7", "sketch")).first()[0] == want
 
 
 def test_sketches_that_differ_do_not_merge(spark):

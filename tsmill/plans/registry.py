@@ -742,6 +742,14 @@ def tv_counter(spark, sf_dir):
     return s.select("user_id", *named(n=m.num_elements("c"), num_resets=m.num_resets("c"), delta=r(m.delta("c"))))
 
 
+@query(_compacted_sql("l_suppkey", "l_extendedprice", "lineitem", 200, 0.001, (0.25, 0.5, 0.75)))
+def tv_percentiles(spark, sf_dir):
+    """The sketch of percentile_agg_default, taken at the end of a pipeline."""
+    li = tables.table(spark, sf_dir, "lineitem").withColumn("ts", F.col("l_shipdate").cast("timestamp"))
+    s = li.groupBy("l_suppkey").agg(timevector.timevector("ts", "l_extendedprice").alias("v")).select("l_suppkey", (F.col("v") >> timevector.percentile_agg()).alias("sketch"))
+    return s.select("l_suppkey", *(r(sketches.udd_percentile("sketch", p), 2).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75)), sketches.udd_error("sketch").alias("error"))
+
+
 @query()
 def tv_sketches(spark, sf_dir):
     t = timevector
