@@ -2,7 +2,7 @@
 
 A summary keeps the first two and last two points, sums over resets and the two-variable sums of the adjusted value
 against seconds since 2000. Rows with a null time or value are left out; of rows with equal times the one with the
-smallest value counts. Here a group is folded in the order of time; tsmill.operators.series builds the same summary with
+smallest value counts, or with repeats all of them count, smaller values first. Here a group is folded in the order of time; tsmill.operators.series builds the same summary with
 windows, which spill and need no group in memory.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tsmill.functions import stats
-from tsmill.functions.base import Accessors, ColumnLike, col, fold, let, let2, need, null
+from tsmill.functions.base import Accessors, ColumnLike, col, fold, ieee_div, let, let2, need, null
 from tsmill.functions.times import EPOCH_2000, interval_after, literal_micros, micros, seconds_2000
 
 POINT = "struct<ts: long, val: double>"
@@ -66,8 +66,8 @@ def _combine(a: Column, b: Column, resets: bool) -> Column:
     w = a["n"].cast("double") * b["n"] / n
     out = build(
         a["first"],
-        F.when(is_single(a), b["first"]).otherwise(a["second"]),
-        F.when(is_single(b), a["last"]).otherwise(b["penultimate"]),
+        F.when(a["n"] == 1, b["first"]).otherwise(a["second"]),
+        F.when(b["n"] == 1, a["last"]).otherwise(b["penultimate"]),
         b["last"],
         shift + b["reset_sum"],
         a["num_resets"] + b["num_resets"] + F.when(down, 1).otherwise(0),
@@ -89,7 +89,7 @@ def points_of(ts: ColumnLike, val: ColumnLike) -> Column:
     return F.array_sort(F.collect_list(F.when(us.isNotNull() & v.isNotNull(), point(us, v))))
 
 
-def from_points(points: Column, limits: Column | None, resets: bool) -> Column:
+def from_points(points: Column, limits: Column | None, resets: bool, repeats: bool = False) -> Column:
     """Summary of sorted points; null if there are none."""
     limits = limits if limits is not None else null("struct<lo: long, hi: long>")
 
@@ -103,7 +103,7 @@ def from_points(points: Column, limits: Column | None, resets: bool) -> Column:
         w = n.cast("double") * acc["n"]
         more = build(
             acc["first"],
-            F.when(is_single(acc), p).otherwise(acc["second"]),
+            F.when(acc["n"] == 1, p).otherwise(acc["second"]),
             acc["last"],
             p,
             shift,
@@ -117,7 +117,7 @@ def from_points(points: Column, limits: Column | None, resets: bool) -> Column:
             acc["sxy"] + tx * ty / w,
             acc["bounds"],
         )
-        return F.when(acc["last"]["ts"] == p["ts"], acc).otherwise(more)
+        return more if repeats else F.when(acc["last"]["ts"] == p["ts"], acc).otherwise(more)
 
     head = F.get(points, F.lit(0))
     return F.when(F.size(points) > 0, fold(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), single(head, limits), step))
@@ -134,12 +134,12 @@ def _ordered(summary: ColumnLike) -> Column:
     return F.array_sort(F.collect_list(F.when(s.isNotNull(), F.struct(s["first"]["ts"].alias("ts"), s.alias("s")))))
 
 
-def counter_agg(ts: ColumnLike, val: ColumnLike, limits: Column | None = None) -> Column:
-    return from_points(points_of(ts, val), limits, True)
+def counter_agg(ts: ColumnLike, val: ColumnLike, limits: Column | None = None, repeats: bool = False) -> Column:
+    return from_points(points_of(ts, val), limits, True, repeats)
 
 
-def gauge_agg(ts: ColumnLike, val: ColumnLike, limits: Column | None = None) -> Column:
-    return from_points(points_of(ts, val), limits, False)
+def gauge_agg(ts: ColumnLike, val: ColumnLike, limits: Column | None = None, repeats: bool = False) -> Column:
+    return from_points(points_of(ts, val), limits, False, repeats)
 
 
 def rollup_counter(summary: ColumnLike) -> Column:
@@ -182,14 +182,19 @@ def idelta_right(s: ColumnLike) -> Column:
     return _step(s["penultimate"], s["last"])
 
 
+def _irate(s: Column, change: Column, a: Column, b: Column) -> Column:
+    """Null for one point; between repeats of a time an infinity, or NaN where nothing changes."""
+    return F.when(s["n"] > 1, ieee_div(change, (b["ts"] - a["ts"]).cast("double") / 1e6))
+
+
 def irate_left(s: ColumnLike) -> Column:
     s = col(s)
-    return idelta_left(s) / F.when(~is_single(s), (s["second"]["ts"] - s["first"]["ts"]).cast("double") / 1e6)
+    return _irate(s, idelta_left(s), s["first"], s["second"])
 
 
 def irate_right(s: ColumnLike) -> Column:
     s = col(s)
-    return idelta_right(s) / F.when(~is_single(s), (s["last"]["ts"] - s["penultimate"]["ts"]).cast("double") / 1e6)
+    return _irate(s, idelta_right(s), s["penultimate"], s["last"])
 
 
 def num_elements(s: ColumnLike) -> Column:

@@ -324,13 +324,13 @@ def stats_agg() -> Pipeline:
     return Pipeline(step)
 
 
-def counter_agg() -> Pipeline:
+def counter_agg(repeats: bool = False) -> Pipeline:
     """A counter summary, see functions.metrics; null for no points."""
-    return Pipeline(lambda v: _if_sound(v, metrics.from_points(F.array_sort(v), None, True), sorted_=False))
+    return Pipeline(lambda v: _if_sound(v, metrics.from_points(F.array_sort(v), None, True, repeats), sorted_=False))
 
 
-def gauge_agg() -> Pipeline:
-    return Pipeline(lambda v: _if_sound(v, metrics.from_points(F.array_sort(v), None, False), sorted_=False))
+def gauge_agg(repeats: bool = False) -> Pipeline:
+    return Pipeline(lambda v: _if_sound(v, metrics.from_points(F.array_sort(v), None, False, repeats), sorted_=False))
 
 
 def percentile_agg(size: int = 200, max_error: float = 0.001) -> Pipeline:

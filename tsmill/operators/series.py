@@ -24,15 +24,17 @@ def _by(df: DataFrame, keys: list[str]):
     return df.groupBy(*keys) if keys else df.groupBy()
 
 
-def _points(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, slice) -> tuple[DataFrame, list[str], Window]:
-    """keys, t, v and the neighbours' t and v; one row for each time; split by slice of time if one is given."""
+def _points(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, slice, repeats: bool = False) -> tuple[DataFrame, list[str], Window]:
+    """keys, t, v and the neighbours' t and v; one row for each time, or with repeats all of them, smaller values first;
+    split by slice of time if one is given."""
     rows = df.select(*keys, micros(ts).alias("t"), col(val).cast("double").alias("v")).where("t is not null and v is not null")
     parts = list(keys)
     if slice is not None:
         rows = rows.withColumn("slice", F.floor(F.col("t") / micros_of(slice)))
         parts.append("slice")
     w = Window.partitionBy(*_partition(parts)).orderBy("t", "v")
-    rows = rows.withColumn("pt", F.lag("t").over(w)).where(F.col("pt").isNull() | (F.col("pt") != F.col("t")))
+    if not repeats:
+        rows = rows.withColumn("pt", F.lag("t").over(w)).where(F.col("pt").isNull() | (F.col("pt") != F.col("t")))
     return rows.withColumns({"pt": F.lag("t").over(w), "pv": F.lag("v").over(w), "nt": F.lead("t").over(w), "nv": F.lead("v").over(w)}), parts, w
 
 
@@ -52,8 +54,8 @@ def _only(test: Column, x: str | Column) -> Column:
     return F.max(F.when(test, F.col(x) if isinstance(x, str) else x))
 
 
-def _metric(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, resets: bool, limits: Column | None, slice, name: str) -> DataFrame:
-    rows, parts, w = _points(df, keys, ts, val, slice)
+def _metric(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, resets: bool, limits: Column | None, slice, name: str, repeats: bool) -> DataFrame:
+    rows, parts, w = _points(df, keys, ts, val, slice, repeats)
     down = F.when(F.col("v") < F.col("pv"), F.col("pv")) if resets else null()
     rows = rows.withColumn("down", down)
     shift = F.coalesce(F.sum("down").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0.0)) if resets else F.lit(0.0)
@@ -79,14 +81,15 @@ def _metric(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, res
 
 
 @own_keys
-def counter_agg(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, limits: Column | None = None, slice=None, name: str = "summary") -> DataFrame:
-    """One counter summary for each group; slice: an interval by which long series are cut."""
-    return _metric(df, keys, ts, val, True, limits, slice, name)
+def counter_agg(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, limits: Column | None = None, slice=None, name: str = "summary", repeats: bool = False) -> DataFrame:
+    """One counter summary for each group; slice: an interval by which long series are cut; repeats: rows of equal times
+    all count, in the order of their values, where else the smallest value stands for them."""
+    return _metric(df, keys, ts, val, True, limits, slice, name, repeats)
 
 
 @own_keys
-def gauge_agg(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, limits: Column | None = None, slice=None, name: str = "summary") -> DataFrame:
-    return _metric(df, keys, ts, val, False, limits, slice, name)
+def gauge_agg(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, limits: Column | None = None, slice=None, name: str = "summary", repeats: bool = False) -> DataFrame:
+    return _metric(df, keys, ts, val, False, limits, slice, name, repeats)
 
 
 @own_keys
@@ -169,14 +172,14 @@ def heartbeat_agg(df: DataFrame, keys: list[str], heartbeat: ColumnLike, agg_sta
 
 # ---------------------------------------------------------------- filling and rolling
 @own_keys
-def fill_to(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, interval, method: str, slice=None) -> DataFrame:
+def fill_to(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, interval, method: str, slice=None, repeats: bool = False) -> DataFrame:
     """Rows (keys, time, value) with points put every interval into longer gaps: locf, linear or nearest. slice: an
-    interval by which long series are cut and spread over tasks."""
+    interval by which long series are cut and spread over tasks. repeats: as for counter_agg."""
     us = micros_of(interval)
     m = method.strip().lower()
     if m not in ("locf", "linear", "interpolate", "nearest"):
         raise ValueError(f"unknown method {method!r}")
-    rows, parts, _ = _points(df, keys, ts, val, slice)
+    rows, parts, _ = _points(df, keys, ts, val, slice, repeats)
     rows = _linked(rows, keys, parts)
     gap = F.col("nt") - F.col("t")
     steps = F.when(gap > us, F.floor((gap - 1) / us)).otherwise(0)
@@ -192,9 +195,9 @@ def fill_to(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, int
 
 
 @own_keys
-def delta(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, slice=None) -> DataFrame:
-    """Rows (keys, time, value): differences of neighbours."""
-    rows, parts, _ = _points(df, keys, ts, val, slice)
+def delta(df: DataFrame, keys: list[str], ts: ColumnLike, val: ColumnLike, slice=None, repeats: bool = False) -> DataFrame:
+    """Rows (keys, time, value): differences of neighbours. repeats: as for counter_agg."""
+    rows, parts, _ = _points(df, keys, ts, val, slice, repeats)
     rows = _linked(rows, keys, parts)
     return rows.where("pt is not null").select(*keys, F.timestamp_micros("t").alias("time"), (F.col("v") - F.col("pv")).alias("value"))
 
