@@ -86,7 +86,7 @@ def _combine(a: Column, b: Column, resets: bool) -> Column:
 def points_of(ts: ColumnLike, val: ColumnLike) -> Column:
     """Sorted array of the points of a group."""
     us, v = micros(ts), col(val).cast("double")
-    return F.array_sort(F.collect_list(F.when(us.isNotNull() & v.isNotNull(), point(us, v))))
+    return F.sort_array(F.collect_list(F.when(us.isNotNull() & v.isNotNull(), point(us, v))))
 
 
 def from_points(points: Column, limits: Column | None, resets: bool, repeats: bool = False) -> Column:

@@ -25,11 +25,11 @@ VECTOR = f"array<{POINT}>"
 def timevector(ts: ColumnLike, val: ColumnLike) -> Column:
     """The points of a group in order of time; a null value stays, a null time does not."""
     us = micros(ts)
-    return F.array_sort(F.collect_list(F.when(us.isNotNull(), F.struct(us.alias("ts"), col(val).cast("double").alias("val"))))).cast(VECTOR)
+    return F.sort_array(F.collect_list(F.when(us.isNotNull(), F.struct(us.alias("ts"), col(val).cast("double").alias("val"))))).cast(VECTOR)
 
 
 def rollup(vector: ColumnLike) -> Column:
-    return F.array_sort(F.flatten(F.collect_list(col(vector)))).cast(VECTOR)
+    return F.sort_array(F.flatten(F.collect_list(col(vector)))).cast(VECTOR)
 
 
 def unnest(vector: ColumnLike) -> Column:
@@ -340,25 +340,38 @@ def percentile_agg(size: int = 200, max_error: float = 0.001) -> Pipeline:
     log_gamma = math.log((1 + max_error) / (1 - max_error))
 
     def step(v: Column) -> Column:
-        key = lambda p: F.struct(
-            F.when(p["val"] > 0, 1).when(p["val"] < 0, -1).otherwise(0).alias("sign"),
-            F.when(p["val"] == 0, F.lit(0)).otherwise(F.ceil(F.ln(F.abs(p["val"])) / log_gamma)).cast("long").alias("idx"),
-        )
-        ks = F.transform(F.filter(v, lambda p: p["val"].isNotNull()), key)
+        def code(x: Column) -> Column:
+            sign = F.when(x > 0, 1).when(x < 0, -1).otherwise(0)
+            return sketches._code(sign, F.when(x == 0, F.lit(0)).otherwise(F.ceil(F.ln(F.abs(x)) / log_gamma)).cast("long"))
+
+        # sorted, so that each bucket is a run: counted from where it begins to where the next one does
+        ks = F.sort_array(F.transform(F.filter(v, lambda p: p["val"].isNotNull()), lambda p: code(p["val"])))
+        begins = lambda k: F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda i: (i == 0) | (F.get(k, i - 1) != F.get(k, i)))
+
+        def runs(k: Column) -> Column:
+            """Where runs begin (at), their codes, and the number of values."""
+            return let(begins(k), lambda at: F.struct(at.alias("at"), F.transform(at, lambda i: F.get(k, i)).alias("code"), F.size(k).alias("n")))
 
         def finish(r: Column) -> Column:
-            level = r["c"]
-            small = F.transform(r["k"], lambda b: F.struct(b["sign"].alias("sign"), sketches._compacted(b["idx"], level).alias("idx")))
-            # in order, so that each bucket is a run: counted from where it begins to where the next one does
-            ranked = F.array_sort(F.transform(small, lambda b: F.struct(b["sign"].alias("sign"), (b["sign"] * b["idx"]).alias("at"))))
-            begins = lambda k: F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda i: (i == 0) | (F.get(k, i - 1) != F.get(k, i)))
-            count = lambda k, at, i, j: F.coalesce(F.get(at, j + 1), F.size(k)) - i
-            bucket = lambda k, at, i, j: F.struct(F.get(k, i)["sign"].alias("sign"), (F.get(k, i)["sign"] * F.get(k, i)["at"]).alias("idx"), count(k, at, i, j).cast("long").alias("n"))
-            buckets = let(ranked, lambda k: let(begins(k), lambda at: F.transform(at, lambda i, j: bucket(k, at, i, j))))
+            level, at = r["c"], r["r"]["at"]
+
+            def bucket(k: Column, first: Column, i: Column, j: Column) -> Column:
+                sign, idx = sketches._sign_idx(F.get(k, i), level)
+                n = F.coalesce(F.get(at, F.get(first, j + 1)), r["r"]["n"]) - F.get(at, i)
+                return F.struct(sign.alias("sign"), idx.alias("idx"), n.cast("long").alias("n"))
+
+            small = F.transform(r["r"]["code"], lambda x: sketches._compacted_code(x, level))
+            buckets = let(small, lambda k: let(begins(k), lambda first: F.transform(first, lambda i, j: bucket(k, first, i, j))))
             total = F.aggregate(r["v"], F.lit(0.0), lambda a, p: a + F.coalesce(p["val"], F.lit(0.0)))
-            return F.when(F.size(r["k"]) > 0, F.struct(sketches._alpha(max_error, level).alias("alpha"), F.lit(float(max_error)).alias("error"), F.lit(size).alias("size"), level.cast("int").alias("compactions"), F.size(r["k"]).cast("long").alias("count"), total.alias("sum"), buckets.alias("buckets")))
+            return F.struct(sketches._alpha(max_error, level).alias("alpha"), F.lit(float(max_error)).alias("error"), F.lit(size).alias("size"), level.cast("int").alias("compactions"), r["r"]["n"].cast("long").alias("count"), total.alias("sum"), buckets.alias("buckets"))
+
+        def levelled(r: Column) -> Column:
+            return F.struct(r["r"].alias("r"), r["v"].alias("v"), sketches._code_levels(r["r"]["code"], size).alias("c"))
+
+        def sketch(r: Column) -> Column:
+            return F.when(F.size(r["k"]) > 0, let(let(F.struct(runs(r["k"]).alias("r"), r["v"].alias("v")), levelled), finish))
 
-        return let(let(F.struct(ks.alias("k"), v.alias("v")), lambda r: F.struct(r["k"].alias("k"), r["v"].alias("v"), sketches._levels(r["k"], size).alias("c"))), finish)
+        return let(F.struct(ks.alias("k"), v.alias("v")), sketch)
 
     return Pipeline(step)
 

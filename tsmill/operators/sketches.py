@@ -32,10 +32,37 @@ def _compacted(idx: Column, by: Column) -> Column:
     return F.ceil(idx / F.pow(F.lit(2.0), by)).cast("long")
 
 
+#: Codes of buckets: sign * (idx + _MIDDLE), in the order of values. Of finite values idx lies within 2^49 of 0; that of an
+#: infinity, the largest long, is held as _FAR. Unlike structs, longs are hashed and sorted in linear time or nearly so.
+_MIDDLE, _FAR = 1 << 61, 1 << 60
+
+
+def _code(sign: Column, idx: Column) -> Column:
+    return sign * (F.greatest(F.least(idx, F.lit(_FAR)), F.lit(-_FAR)) + _MIDDLE)
+
+
+def _compacted_code(code: Column, by: Column | int) -> Column:
+    k = _compacted(F.abs(code) - _MIDDLE, by if isinstance(by, Column) else F.lit(by)) + _MIDDLE
+    return F.when(code < 0, -k).when(code > 0, k).otherwise(code)
+
+
+def _sign_idx(code: Column, c: Column) -> tuple[Column, Column]:
+    """Sign and idx of a code after c compactions."""
+    idx = F.abs(code) - _MIDDLE
+    far = idx * F.pow(F.lit(2.0), c) > float(1 << 50)
+    return F.signum(code).cast("int"), F.when(code == 0, F.lit(0).cast("long")).when(far, _compacted(F.lit((1 << 63) - 1), c)).otherwise(idx)
+
+
+def _code_levels(codes: Column, size: int) -> Column:
+    """The least number of compactions after which at most `size` codes are left, each taken from what the last one left."""
+    level = lambda c, k: F.struct(c.alias("c"), F.array_distinct(k).alias("k"))
+    more = lambda a, _: F.when(F.size(a["k"]) <= size, a).otherwise(level(a["c"] + 1, F.transform(a["k"], lambda x: _compacted_code(x, 1))))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(60)), level(F.lit(0), codes), more, lambda a: F.when(F.size(a["k"]) <= size, a["c"]).otherwise(-1))
+
+
 def _levels(buckets: Column, size: int) -> Column:
     """The least number of compactions after which at most `size` buckets are left."""
-    count = lambda c: F.size(F.array_distinct(F.transform(buckets, lambda b: F.struct(b["sign"], _compacted(b["idx"], c)))))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(60)), F.lit(-1), lambda acc, c: F.when(acc >= 0, acc).when(count(c) <= size, c).otherwise(acc))
+    return _code_levels(F.transform(buckets, lambda b: _code(b["sign"], b["idx"])), size)
 
 
 def _finish(grouped: DataFrame, keys: list[str], size: int, error: float, name: str) -> DataFrame:
