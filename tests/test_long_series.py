@@ -1,6 +1,5 @@
 """Elements of vectors and smoothing over long series."""
 
-import math
 import time
 
 from pyspark.sql import functions as F
@@ -21,3 +20,11 @@ def test_percentile_element_is_not_quadratic(spark):
     assert got.buckets == want.buckets and got.compactions == want.compactions and got["count"] == 60_006
     few = df.where("k = 9").groupBy().agg(T.timevector("ts", "v").alias("v")).select((F.col("v") >> T.percentile_agg()).alias("sketch")).first()[0]
     assert few.buckets == K.percentile_agg(df.where("k = 9"), [], "v").first()[0].buckets and len(few.buckets) == 6
+
+
+def test_hyperloglog_element_is_not_quadratic(spark):
+    df = spark.range(200_000).select(F.timestamp_micros("id").alias("ts"), F.col("id").cast("double").alias("v"))
+    began = time.perf_counter()
+    got = df.groupBy().agg(T.timevector("ts", "v").alias("v")).select((F.col("v") >> T.hyperloglog(4096)).alias("sketch")).first()[0]
+    assert time.perf_counter() - began < 40
+    assert got == K.hyperloglog(df, [], "v", 4096).first()[0]

@@ -386,13 +386,15 @@ def hyperloglog(size: int) -> Pipeline:
         h = F.xxhash64(x)
         rest = h.bitwiseAND(F.lit((1 << (64 - p)) - 1))
         rho = F.when(rest == 0, 64 - p + 1).otherwise(64 - p - F.length(F.bin(rest)) + 1)
-        return F.struct(F.shiftrightunsigned(h, 64 - p).cast("int").alias("i"), rho.cast("int").alias("r"))
+        return F.shiftrightunsigned(h, 64 - p).cast("int") * 64 + rho.cast("int")
 
     def step(v: Column) -> Column:
-        rows = F.array_sort(F.array_distinct(F.transform(F.filter(v, lambda q: q["val"].isNotNull()), lambda q: register(q["val"]))))
+        # register * 64 + rank as one number, which is hashed; structs would be compared one by one
+        rows = F.sort_array(F.array_distinct(F.transform(F.filter(v, lambda q: q["val"].isNotNull()), lambda q: register(q["val"]))))
         # sorted by register and rank: the last of each register is its best
-        best = let(rows, lambda a: F.filter(a, lambda x, i: F.coalesce(F.get(a, i + 1)["i"] != x["i"], F.lit(True))))
-        return F.struct(F.lit(p).alias("precision"), best.alias("registers"))
+        of = lambda x: F.shiftright(x, 6)
+        best = let(rows, lambda a: F.filter(a, lambda x, i: F.coalesce(of(F.get(a, i + 1)) != of(x), F.lit(True))))
+        return F.struct(F.lit(p).alias("precision"), F.transform(best, lambda x: F.struct(of(x).alias("i"), x.bitwiseAND(63).alias("r"))).alias("registers"))
 
     return Pipeline(step)
 
