@@ -8,13 +8,13 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsmill.functions.base import ColumnLike, col, need
+from tsmill.functions.base import ColumnLike, col, need, own_keys
 from tsmill.functions.metrics import points_of
-from tsmill.functions.times import flat_micros
+from tsmill.functions.times import flat_micros, micros
 
 VECTOR = "array<struct<ts: long, val: double>>"
 
@@ -107,18 +107,19 @@ def smooth(val: np.ndarray, resolution: int) -> tuple[np.ndarray, int, int]:
     return _means(x, width, 1), before, width
 
 
-def _each(vectors: pd.Series, f) -> pd.Series:
-    out = []
-    for v in vectors:
-        if v is None:
-            out.append(None)
-            continue
-        pairs = [(p["ts"], p["val"]) for p in v]
-        ts = np.array([t for t, _ in pairs], np.int64)
-        val = np.array([np.nan if x is None else x for _, x in pairs], float)
-        t, x = f(ts, val)
-        out.append([{"ts": int(a), "val": float(b)} for a, b in zip(t, x)])
-    return pd.Series(out, dtype=object)
+def _each(vectors: pa.ListArray, f) -> pa.ListArray:
+    """f of the arrays of each vector; points are never Python objects."""
+    edge, points = vectors.offsets.to_numpy(), vectors.values
+    ts, val = points.field("ts").to_numpy(zero_copy_only=False), points.field("val").to_numpy(zero_copy_only=False).astype(float, copy=False)
+    missing = vectors.is_null().to_numpy(zero_copy_only=False)
+    times, values, sizes = [np.zeros(0, np.int64)], [np.zeros(0)], [0]
+    for s, e, none in zip(edge[:-1].tolist(), edge[1:].tolist(), missing.tolist()):
+        t, x = (ts[:0], val[:0]) if none else f(ts[s:e], val[s:e])
+        times.append(t)
+        values.append(x)
+        sizes.append(len(t))
+    flat = pa.StructArray.from_arrays([pa.array(np.concatenate(times), pa.int64()), pa.array(np.concatenate(values), pa.float64())], ["ts", "val"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), flat, mask=pa.array(missing))
 
 
 @lru_cache(256)
@@ -134,8 +135,8 @@ def _udf(kind: str, n: int, gap: int = 0):
 
     f = smoothed if kind == "asap" else chosen
 
-    @F.pandas_udf(VECTOR)
-    def apply(v: pd.Series) -> pd.Series:
+    @F.arrow_udf(VECTOR)
+    def apply(v: pa.Array) -> pa.Array:
         return _each(v, f)
 
     return apply
@@ -169,5 +170,19 @@ def gp_lttb(df: DataFrame, keys: list[str], ts: str, val: str, n: int, gap=None)
     return _series(df, keys, ts, val).select(*keys, gp_lttb_column("points", n, gap).alias("points"))
 
 
+@own_keys
 def asap_smooth(df: DataFrame, keys: list[str], ts: str, val: str, resolution: int) -> DataFrame:
-    return _series(df, keys, ts, val).select(*keys, asap_column("points", resolution).alias("points"))
+    """keys, points: each series smoothed. The means taken beforehand are Spark's, over a window that spills, so that no
+    more than two points for each of the resolution's are collected and reach Python, however long a series is."""
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__t", "__v")
+    rows = df.select(*keys, micros(ts).alias("__t"), col(val).cast("double").alias("__v")).where("__t is not null and __v is not null")
+    n = F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumns({"__i": F.row_number().over(w).cast("long") - 1, "__n": n})
+    before = F.when(F.col("__n") > 2 * resolution, F.floor(F.col("__n") / resolution)).otherwise(1) if resolution > 0 else F.lit(1)
+    rows = rows.withColumn("__before", before.cast("long")).withColumn("__bucket", F.floor(F.col("__i") / F.col("__before")))
+    means = rows.groupBy(*keys, "__before", "__bucket").agg(F.count("*").alias("__n"), F.min("__t").alias("ts"), (F.sum("__v") / F.col("__before")).alias("val"))
+    whole = F.when(F.col("__n") == F.col("__before"), F.struct("__bucket", "ts", "val"))  # the last bucket may not be
+    grouped = means.groupBy(*keys) if keys else means.groupBy()
+    vector = grouped.agg(F.sort_array(F.collect_list(whole)).alias("points")).where(F.size("points") > 0)
+    points = F.transform("points", lambda p: F.struct(p["ts"].alias("ts"), p["val"].alias("val")))
+    return vector.select(*keys, asap_column(points, resolution).alias("points"))
