@@ -4,7 +4,11 @@ Candidates are texts that agree in a band of MinHash values (BANDS bands of ROWS
 with probability 1 - (1 - s^ROWS)^BANDS: all but 3 in a million at 0.8, more above. Every candidate is decided by the
 shingles of the two texts themselves. Equal texts are one node, so copies cost nothing.
 
-Candidates come in two turns. First each text of a band is compared with the band's most central text, the one whose
+SimHash comes first: fingerprints of the five-word shingles that tsmill.llm.simhash links at three bits or fewer are
+candidates, which the shingles decide as any other. They hold nearly all pairs above 0.95 and few below, so MinHash finds
+the rest.
+
+Candidates of MinHash come in two turns. First each text of a band is compared with the band's most central text, the one whose
 bands hold most texts, which connects nearly all of a group of near copies. Then the texts of each band that this has
 left in different groups are compared by their sketches (a byte of each MinHash value), in blocks of BLOCK texts in a
 task, however many a band holds; where sketches agree in AGREE places or more, 64-bit hashes of the shingles decide. A pair
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsmill.llm.common import connected_components, cut, drop_cut
-from tsmill.llm.simhash import Forest, shingle_hashes
+from tsmill.llm.simhash import Forest, link_fingerprints, majority, shingle_hashes
 
 WIDTH = 5
 #: Least similarity, as a fraction of whole numbers.
@@ -51,28 +55,30 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
     return r.integers(0, 1 << 64, n, np.uint64), r.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def bands(text: str | None, width: int = WIDTH) -> tuple[np.ndarray, bytes]:
-    """The BANDS keys of a text, and its sketch."""
+def bands(text: str | None, width: int = WIDTH) -> tuple[np.ndarray, bytes, int]:
+    """The BANDS keys of a text, its sketch, and its SimHash fingerprint (without a word: 0)."""
     import xxhash
 
     flip, factor = _functions()
-    h = np.array(shingle_hashes((text or "").encode().lower().split(), width), np.uint64)
+    words = (text or "").encode().lower().split()
+    h = np.array(shingle_hashes(words, width), np.uint64)
     least = np.full(len(flip), np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(h), 1024):
         x = (h[k : k + 1024] ^ flip[:, None]) * factor[:, None]
         x ^= x >> np.uint64(32)
         np.minimum(least, x.min(axis=1), out=least)
     raw, size = least.tobytes(), 8 * ROWS
-    return np.array([xxhash.xxh64_intdigest(raw[k * size : (k + 1) * size], k) for k in range(BANDS)], np.uint64).view(np.int64), least.astype(np.uint8).tobytes()
+    return np.array([xxhash.xxh64_intdigest(raw[k * size : (k + 1) * size], k) for k in range(BANDS)], np.uint64).view(np.int64), least.astype(np.uint8).tobytes(), majority(h) if words else 0
 
 
 # ---------------------------------------------------------------- links
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [bands(t) for t in b.column(2).to_pylist()]
-        flat = pa.array(np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64))
+        flat = pa.array(np.concatenate([x for x, _, _ in found]) if found else np.zeros(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
-        yield pa.record_batch([b.column(0), b.column(1), lists, pa.array([x for _, x in found], pa.binary())], names=["doc_id", "th", "bands", "sketch"])
+        fp = pa.array(np.array([x for _, _, x in found], np.uint64).view(np.int64))
+        yield pa.record_batch([b.column(0), b.column(1), lists, pa.array([x for _, x, _ in found], pa.binary()), fp], names=["doc_id", "th", "bands", "sketch", "fp"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -228,22 +234,34 @@ def _cells(open_rows: DataFrame) -> DataFrame:
     return each.select("key", x.alias("x"), y.alias("y"), (F.col("own") == x).alias("left"), (F.col("own") == y).alias("right"), "band", "th", "component", "sketch")
 
 
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """(th, fp) of different texts -> pairs (a, b) of th that connect what fingerprints within three bits connect."""
+    of = prints.groupBy("fp").agg(F.min("th").alias("th"))
+    same = prints.join(of.withColumnRenamed("th", "a"), "fp").where("th <> a").select("a", F.col("th").alias("b"))
+    near = link_fingerprints(of).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    near = near.join(of.select(F.col("fp").alias("fa"), F.col("th").alias("a")), "fa").join(of.select(F.col("fp").alias("fb"), F.col("th").alias("b")), "fb")
+    return same.unionByName(near.select("a", "b"))
+
+
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th) of every row of docs, th being the text's hash; and (node, component) of those th that have near copies."""
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    rows = cut(hashed.mapInArrow(_bands, "doc_id long, th long, bands array<long>, sketch binary"), "bands")
+    rows = cut(hashed.mapInArrow(_bands, "doc_id long, th long, bands array<long>, sketch binary, fp long"), "bands")
+    simhash = cut(fingerprint_pairs(rows.groupBy("th").agg(F.first("fp").alias("fp"))), "pairs")
     keyed = rows.groupBy("th").agg(F.first("bands").alias("bands")).select("th", F.posexplode("bands").alias("band", "key"))
     counted = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(keyed.join(counted, "key"), "shared")
     sketches = cut(rows.select("th", "sketch").join(shared.select("th").distinct(), "th", "left_semi").groupBy("th").agg(F.first("sketch").alias("sketch")), "sketches")
     # all texts that may be compared: whole texts are shuffled here only, if the list of them is too long to broadcast
-    texts = cut(hashed.select("th", "text").join(sketches.select("th"), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text")), "texts")
+    compared = sketches.select("th").unionByName(simhash.select(F.explode(F.array("a", "b")).alias("th"))).distinct()
+    texts = cut(hashed.select("th", "text").join(compared, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text")), "texts")
     weighed = shared.select("key", "th", F.sum("n").over(Window.partitionBy("th")).alias("w"))
     central = weighed.groupBy("key").agg(F.max(F.struct("w", "th")).alias("m")).select("key", F.col("m.th").alias("a"), F.col("m.w").alias("w"))
     star = shared.join(central, "key").where("th <> a").select("a", F.col("th").alias("b"), "w").distinct()
     likely = cut(_both(star, sketches, "sketch").mapInArrow(_likely, "a long, b long, w long"), "pairs")
     # a text meets the most central of its texts first, and the others where that has left them apart
-    chosen = cut(likely.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a")).select("a", "b"), "pairs")
+    chosen = likely.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a")).select("a", "b")
+    chosen = cut(chosen.unionByName(simhash).distinct(), "pairs")
     links = _verified(chosen, texts)
     parts = cut(connected_components(links).withColumnRenamed("node", "th"), "parts")
     part_of = lambda x: parts.select(F.col("th").alias(x), F.col("component").alias(f"c{x}"))
@@ -259,7 +277,7 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     more = in_order(rest.join(texts, "th")).mapInArrow(_forest, "a long, b long")
     found = cut(links.unionByName(more), "links")
     components = connected_components(found)
-    for t in (shared, sketches, likely, chosen, others, links, rest, texts, found):
+    for t in (simhash, shared, sketches, likely, chosen, others, links, rest, texts, found):
         drop_cut(t)
     return rows.select("doc_id", "th"), components
 

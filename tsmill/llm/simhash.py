@@ -57,9 +57,12 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     words = text.lower().split()  # bytes: A-Z only, and ASCII white space only
     if not words:
         return 0
-    h = shingle_hashes(words, width)
+    return majority(np.array(shingle_hashes(words, width), np.uint64))
+
+
+def majority(a: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes."""
     bits = np.zeros(64, np.int64)
-    a = np.array(h, np.uint64)
     for k in range(0, len(a), 65536):
         bits += np.unpackbits(a[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(bits * 2 > len(a), bitorder="little").view(np.uint64)[0])
